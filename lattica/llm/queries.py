@@ -14,6 +14,39 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "slot")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE_RULES, find_secrets
+
+    base = [r.kind for r in BASE_RULES]
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in base],
+        F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    from .decontaminate import find_items
+
+    found = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    m = found.select("doc_id", F.explode("matches").alias("m"))
+    return m.select("doc_id", F.col("m.item_id").alias("item_id"), F.col("m.distance").alias("distance"), F.col("m.end").alias("end_at"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -64,6 +97,9 @@ FROM best
 
 QUERIES = {
     "op1_mixture": op1_mixture,
+    "op2_main_text": op2_main_text,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op10_url_filter": op10_url_filter,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), train=crc_mod(F.col("doc_id"), 5) != 1)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE_RULES, find_secrets
 
@@ -98,6 +104,7 @@ FROM best
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_main_text": op2_main_text,
+    "op4_backoff_lm": op4_backoff_lm,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,

@@ -59,6 +59,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.length("text").cast("long").alias("n_chars"), F.col("n_removed").cast("long").alias("n_removed"))
 
 
+def op9_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -108,6 +114,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op9_ngram_groups": op9_ngram_groups,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -20,6 +20,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation_index import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0)
+
+
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .backoff_lm import lm_scores
 
@@ -44,6 +50,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = classify(docs, table(spark, sf_dir, "labels"), held_out=crc_mod(F.col("doc_id"), 4) == 2)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
     from .decontaminate import find_items
@@ -110,8 +124,10 @@ FROM best
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_main_text": op2_main_text,
+    "op3_permutation_index": op3_permutation_index,
     "op4_backoff_lm": op4_backoff_lm,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_groups": op9_ngram_groups,

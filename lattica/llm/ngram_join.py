@@ -195,7 +195,8 @@ def _links(candidates: DataFrame, texts: DataFrame, percent: int, label: str) ->
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles and component_id, the smallest doc_id of its group."""
+    """For each row of docs: doc_id, n_shingles and component_id, the smallest doc_id of its group; also text_key (the
+    text's MD5) and chosen: whether the row's text and id are those that stay if one document of each group does."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("k"), F.col(text_col).cast("binary").alias("text"))
     size = B.text_bytes(docs, text_col)
     n_blocks = B.block_count(size, block_bytes or B.BLOCK_BYTES)
@@ -230,10 +231,25 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     whole = components(first.unionByName(second), "a", "b") if second.take(1) else groups
     least = rows.groupBy("k").agg(F.min("doc_id").alias("least"))
     of = found.select("k", "n").join(least, "k").join(whole.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    top = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = stored(of.join(top, "label").select("k", "n", "component_id"), "classes")
+    # the smallest id, nulls last; of the texts that have it the first by key
+    top = of.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("none"), "least", "k")).alias("top"))
+    known = stored(of.join(top, "label").select("k", "n", F.col("top.least").alias("component_id"), (F.col("k") == F.col("top.k")).alias("best")), "classes")
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return rows.select("doc_id", "k").join(known, "k", "left").select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    chosen = (n == 0) | F.col("best") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    component = F.when(n == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "k").join(known, "k", "left").select("doc_id", n.alias("n_shingles"), component.alias("component_id"), F.col("k").alias("text_key"), chosen.alias("chosen"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: the smallest doc_id (of repeated rows one). Rows without words all stay."""
+    groups = stored(jaccard_groups(docs, percent, width, id_col, text_col).select(F.col("doc_id").alias("__nj_id"), F.col("text_key").alias("__nj_k"), "n_shingles", "chosen"), "groups-of-rows")
+    key = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    same = F.col(id_col).eqNullSafe(F.col("__nj_id")) & (F.col("__nj_key") == F.col("__nj_k"))
+    left = docs.withColumn("__nj_key", key).join(groups.filter("NOT chosen").select("__nj_id", "__nj_k").distinct(), same, "left_anti")
+    again = stored(groups.filter("chosen AND n_shingles > 0").groupBy("__nj_id", "__nj_k").agg(F.count("*").alias("c")).filter("c > 1").select("__nj_id", "__nj_k"), "repeated-rows")
+    if again.take(1):
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, "__nj_key"]))
+    return left.select(*docs.columns)
 
 
 def _one_each(rows: DataFrame) -> DataFrame:

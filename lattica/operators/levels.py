@@ -43,10 +43,10 @@ def level_plan(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], weigh
     nodes = sorted(asked)
     number = {c: i for i, c in enumerate(every)}
     groups = grouped(df, nodes, weight)
-    wanted = F.element_at(F.lit([sorted(number[a] for a in asked[s]) for s in nodes]) if len(nodes) > 1 else F.array(F.array(*[F.lit(number[a]) for a in sorted(asked[nodes[0]], key=number.get)])), F.col("node") + 1)
+    wanted = F.element_at(F.lit([sorted(number[a] for a in asked[s]) for s in nodes]) if len(nodes) > 1 else F.array(F.array(*[F.lit(number[a]) for a in sorted(asked[nodes[0]], key=number.get)])), F.col("__node") + 1)
     spread = groups.withColumn("__rhs", F.explode(wanted))
     rest = [F.when(F.col("__rhs") != i, F.col(f"`{c}`")).alias(f"__x{i}") for c, i in number.items()]
-    keys = spread.select("node", "__rhs", "c", *rest)
+    keys = spread.select(F.col("__node").alias("node"), "__rhs", F.col("__c").alias("c"), *rest)
     s, m, q, c = F.col("s"), F.col("m"), F.col("q"), F.col("c")
     per = keys.groupBy("node", "__rhs", *[f"__x{i}" for i in number.values()]).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"), F.count("*").alias("d"))
     out = per.groupBy("node", "__rhs").agg(

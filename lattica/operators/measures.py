@@ -55,14 +55,14 @@ def row_count(df: DataFrame, weight: str | None = None) -> int:
 
 
 def by_value(df: DataFrame, lhs: Sequence[str], rhs: str, weight: str | None = None) -> DataFrame:
-    """A row for each X: s, m and q of its groups of A."""
+    """A row for each X: __s, __m and __q (see Measure) of its groups of A."""
     if rhs in lhs:
         raise ValueError("the right-hand side stands on the left, too")
     check_columns(df, [*lhs, rhs])
     n = F.sum(weight) if weight else F.count("*")
-    c = F.col("c")
-    pairs = df.groupBy(*lhs, rhs).agg(n.cast("long").alias("c"))
-    return pairs.groupBy(*lhs).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"))
+    c = F.col("__c")
+    pairs = df.groupBy(*lhs, rhs).agg(n.cast("long").alias("__c"))
+    return pairs.groupBy(*lhs).agg(F.sum(c).alias("__s"), F.max(c).alias("__m"), F.sum(c * (c - 1)).alias("__q"))
 
 
 def errors(df: DataFrame, lhs: Sequence[str], rhs: str, weight: str | None = None) -> DataFrame:
@@ -70,11 +70,11 @@ def errors(df: DataFrame, lhs: Sequence[str], rhs: str, weight: str | None = Non
     if not lhs:
         check_columns(df, [rhs])
         n = F.sum(weight) if weight else F.count("*")
-        groups = df.groupBy(rhs).agg(n.cast("long").alias("s"))
-        s = F.col("s")
+        groups = df.groupBy(rhs).agg(n.cast("long").alias("__s"))
+        s = F.col("__s")
         sums = groups.agg(F.coalesce(F.sum(s), F.lit(0)).alias("n"), F.sum(G3.alone(s)).alias("r"), F.sum(G1.alone(s)).alias("p"))
     else:
-        s, m, q = F.col("s"), F.col("m"), F.col("q")
+        s, m, q = F.col("__s"), F.col("__m"), F.col("__q")
         groups = by_value(df, lhs, rhs, weight)
         sums = groups.agg(F.coalesce(F.sum(s), F.lit(0)).alias("n"), F.sum(G3.group(s, m, q)).alias("r"), F.sum(G1.group(s, m, q)).alias("p"))
     n, r, p = F.col("n"), F.coalesce("r", F.lit(0)), F.coalesce("p", F.lit(0))
@@ -93,10 +93,10 @@ def simple_measure(lhs: Sequence[str], n_columns: int) -> float:
 def majority(df: DataFrame, lhs: Sequence[str], rhs: str) -> DataFrame:
     """Each X with its most frequent A (ties: the smallest), how often that stands, and the rows of X."""
     check_columns(df, [*lhs, rhs])
-    pairs = df.groupBy(*lhs, rhs).agg(F.count("*").alias("c"))
+    pairs = df.groupBy(*lhs, rhs).agg(F.count("*").alias("__c"))
     # the smallest of the most frequent: order by -c, then the value, nulls last
-    best = F.min(F.struct((-F.col("c")).alias("n"), F.isnull(rhs).alias("none"), F.col(rhs).alias("v")))
-    return pairs.groupBy(*lhs).agg(best.alias("b"), F.sum("c").alias("group_rows")).select(*lhs, F.col("b.v").alias("majority_value"), (-F.col("b.n")).alias("majority_rows"), "group_rows")
+    best = F.min(F.struct((-F.col("__c")).alias("n"), F.isnull(rhs).alias("none"), F.col(rhs).alias("v")))
+    return pairs.groupBy(*lhs).agg(best.alias("__b"), F.sum("__c").alias("group_rows")).select(*lhs, F.col("__b.v").alias("majority_value"), (-F.col("__b.n")).alias("majority_rows"), "group_rows")
 
 
 def rows_to_remove(df: DataFrame, lhs: Sequence[str], rhs: str) -> DataFrame:

@@ -85,14 +85,14 @@ def statistics(df: DataFrame, column_sets: Sequence[Sequence[str]]) -> DataFrame
     sets = [check_columns(df, s) for s in column_sets]
     names = [",".join(sorted(s)) for s in sets]
     per = grouped(df, sets)
-    n = F.col("c")
-    out = per.groupBy("node").agg(
+    n = F.col("__c")
+    out = per.groupBy("__node").agg(
         F.count_if(n > 1).alias("clusters"),
         F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).cast("long").alias("partition_size"),
         F.count("*").alias("distinct_groups"),
         F.sum(n).cast("long").alias("total_rows"),
     )
-    return out.withColumn("columns", F.element_at(F.array(*map(F.lit, names)), F.col("node") + 1)).drop("node")
+    return out.withColumn("columns", F.element_at(F.array(*map(F.lit, names)), F.col("__node") + 1)).drop("__node")
 
 
 def is_superkey(df: DataFrame, columns: Sequence[str]) -> bool:
@@ -101,7 +101,7 @@ def is_superkey(df: DataFrame, columns: Sequence[str]) -> bool:
 
 
 def grouped(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = None) -> DataFrame:
-    """node (position in sets), the columns of all sets (null where a set lacks them) and c, the rows of each group of
+    """__node (position in sets), the columns of all sets (null where a set lacks them) and __c, the rows of each group of
     each set: one Expand and one shuffle of partial counts. Nodes are told apart by grouping_id, so nulls in the data
     are values like others."""
     every = list(dict.fromkeys(c for s in sets for c in s))
@@ -109,12 +109,12 @@ def grouped(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = N
     n = F.sum(weight) if weight else F.count("*")
     # grouping_id: a bit for each column, the first the highest, set where the column is not grouped
     gid = {s: sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in s) for s in distinct}
-    out = df.groupingSets([[F.col(f"`{c}`") for c in s] for s in distinct], *[F.col(f"`{c}`") for c in every]).agg(n.cast("long").alias("c"), F.grouping_id().alias("__gid"))
+    out = df.groupingSets([[F.col(f"`{c}`") for c in s] for s in distinct], *[F.col(f"`{c}`") for c in every]).agg(n.cast("long").alias("__c"), F.grouping_id().alias("__gid"))
     node = {s: i for i, s in reversed(list(enumerate(tuple(sorted(x, key=every.index)) for x in sets)))}
     number = F.lit(None).cast("int")
     pairs = [(gid[s], node[s]) for s in distinct]
     number = F.element_at(F.create_map(*[F.lit(x) for g, i in pairs for x in (g, i)]), F.col("__gid")) if len(pairs) <= 8 else _lookup(pairs, F.col("__gid"))
-    return out.select(number.cast("int").alias("node"), *[F.col(f"`{c}`") for c in every], "c")
+    return out.select(number.cast("int").alias("__node"), *[F.col(f"`{c}`") for c in every], "__c")
 
 
 def _lookup(pairs: list[tuple[int, int]], gid: Column) -> Column:

@@ -93,9 +93,9 @@ def pilot(df: DataFrame, id_col: str, columns: Sequence[str], seed: int = SEED,
 def pilot_variances(df: DataFrame, id_col: str, columns: Sequence[str], rhs: str, seed: int = SEED) -> DataFrame:
     """Each cluster with its size and the pilot's variance of the indicator "A differs from the majority"."""
     drawn = pilot(df, id_col, columns, seed)
-    pairs = drawn.groupBy(*columns, "__size", rhs).agg(F.count("*").alias("c"))
-    per = pairs.groupBy(*columns, "__size").agg(F.sum("c").alias("pilot_rows"), F.max("c").alias("top"))
-    return per.select(*columns, F.col("__size").alias("cluster_size"), F.col("pilot_rows").cast("long").alias("pilot_rows"), conflict_variance(F.col("pilot_rows"), F.col("top")).alias("variance"))
+    pairs = drawn.groupBy(*columns, "__size", rhs).agg(F.count("*").alias("__c"))
+    per = pairs.groupBy(*columns, "__size").agg(F.sum("__c").alias("__n"), F.max("__c").alias("__top"))
+    return per.select(*columns, F.col("__size").alias("cluster_size"), F.col("__n").cast("long").alias("pilot_rows"), conflict_variance(F.col("__n"), F.col("__top")).alias("variance"))
 
 
 def base_column(df: DataFrame, lhs: Sequence[str]) -> str:
@@ -175,9 +175,9 @@ def without_lone_values(sample: DataFrame, df: DataFrame, lhs: Sequence[str]) ->
 
 def estimated_violations(rows: DataFrame, lhs: Sequence[str], rhs: str, measure: str | Measure = "g3") -> DataFrame:
     """One row: violations among the rows given."""
-    s, m, q, c = F.col("s"), F.col("m"), F.col("q"), F.col("c")
-    per = rows.groupBy(*lhs, rhs).agg(F.count("*").alias("c")).groupBy(*lhs).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"))
-    return per.agg(F.coalesce(F.sum(measure_named(measure).group(s, m, q)), F.lit(0)).cast("long").alias("violations"), F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("rows_used"))
+    s, m, q, c = F.col("__s"), F.col("__m"), F.col("__q"), F.col("__c")
+    per = rows.groupBy(*lhs, rhs).agg(F.count("*").alias("__c")).groupBy(*lhs).agg(F.sum(c).alias("__s"), F.max(c).alias("__m"), F.sum(c * (c - 1)).alias("__q"))
+    return per.agg(F.coalesce(F.sum(measure_named(measure).group(s, m, q)), F.lit(0)).cast("long").alias("violations"), F.coalesce(F.sum(s), F.lit(0)).cast("long").alias("rows_used"))
 
 
 def estimate_error(df: DataFrame, id_col: str, lhs: Sequence[str], rhs: str, strategy: str = "focused", param: float = 200, seed: int = SEED) -> DataFrame:

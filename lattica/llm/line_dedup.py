@@ -43,8 +43,9 @@ def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, m
     estimated), copies, and __ld_first, the occurrence that stays."""
     lines = _lines(_keyed(docs, id_col, text_col, site_col), min_chars)
     width = 5 * 1.04 / math.sqrt(1 << lg_k) * min_sites
+    # the sketch skips empty strings, so it gets their hash
     spread = lines.groupBy("__ld_h", "__ld_len").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("__ld_site", F.lit(lg_k))).alias("est"),
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("__ld_site"), F.lit(lg_k))).alias("est"),
         F.count("*").alias("copies"),
         F.min(F.struct("__ld_id", "__ld_key", "__ld_pos")).alias("__ld_first"),
     )

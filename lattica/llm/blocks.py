@@ -9,6 +9,8 @@ a shard. Both numbers grow with the corpus.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -19,9 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 10 << 20
 #: A packing task holds so much text before it writes its rows.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 16 << 20
+
+
+def trim() -> None:
+    """Give freed memory back to the system, for workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -32,15 +41,25 @@ def block_count(size: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, math.ceil(size / block_bytes))
 
 
-def packed(df: DataFrame, by: Column, n_blocks: int) -> DataFrame:
-    """df as rows (block, blob): a blob holds the rows of one task that belong to a block, as compressed Arrow."""
+def packed(df: DataFrame, by: Column, n_blocks: int, one_each: str | None = None) -> DataFrame:
+    """df as rows (block, blob): a blob holds the rows of one task that belong to a block, as compressed Arrow.
+
+    one_each: a binary column; of rows that are equal in it each task sends one. So many copies never meet in a block."""
     names = df.columns
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
+        seen: set[bytes] = set()
         for batch in batches:
+            if one_each:
+                new = []
+                for i, k in enumerate(batch.column(names.index(one_each)).to_pylist()):
+                    if k not in seen:
+                        seen.add(k)
+                        new.append(i)
+                batch = batch.take(pa.array(new, pa.int64()))
             held.append(batch)
             size += batch.nbytes
             if size >= FLUSH_BYTES:
@@ -48,6 +67,8 @@ def packed(df: DataFrame, by: Column, n_blocks: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield _dealt(held, names)
+        held = []
+        trim()
 
     return df.select(*names, F.pmod(by, F.lit(n_blocks)).cast("int").alias("__block")).mapInArrow(run, schema)
 

@@ -77,7 +77,7 @@ class Vocabulary(dict):
         return n
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -7,10 +7,12 @@ Equal texts are one node from the start. The rest is exact:
    blocks that ask shards, see blocks.py), ties by hash. A text of n shingles must share ceil(s n) of them with any
    partner, so one of its first n - ceil(s n) + 1. Shingles that no other text has match nothing, so a text with enough
    of those leaves here; most texts do.
-2. For each remaining prefix shingle the texts that post it are linked to the smallest of them as candidates: a star,
-   not all pairs. Candidates are verified, and the links found make provisional groups.
-3. Texts that post the same shingle and are not in one group yet become candidate pairs if their sizes and the places of
-   the shingle allow the overlap. They are verified, too. Now every pair that could link has either been verified or
+2. For each remaining prefix shingle the texts that post it are candidates of one of them: a star, not all pairs.
+   Candidates are verified, and the links found make provisional groups. A second round does the same across the
+   groups, with the centre drawn for each shingle anew.
+3. Texts that post the same shingle and are not in one group yet become candidate pairs if their sizes, the places of the
+   shingle and their parity sketches allow the overlap (sets that differ in d shingles have sketches that differ in at
+   most d bits). They are verified, too. Now every pair that could link has either been verified or
    lies within one group; so the groups are the exact components.
 
 Verification keeps the ordered sets of the partners of a text in a prefix tree. It is walked with the running overlap,
@@ -26,11 +28,12 @@ has a null component if all of its group are null; empty tables give empty resul
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -41,6 +44,8 @@ WIDTH = 5
 PERCENT = 75
 #: Partners of one text that are verified by one task; more are dealt to several.
 STAR = 256
+#: Rounds of stars before the remaining pairs are listed.
+ROUNDS = 2
 
 
 def shingles(ids: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -121,6 +126,7 @@ class _Block:
 def _asked(shards: int, bits: int, width: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         keys, _, n = _Block(t, width).counted(bits)
+        B.trim()
         cut = np.searchsorted(B.shard_of(keys << np.uint64(64 - bits), shards), np.arange(shards + 1))
         full = [s for s in range(shards) if cut[s + 1] > cut[s]]
         blobs = [B.write_ints(B.deltas(keys[cut[s] : cut[s + 1]]), n[cut[s] : cut[s + 1]]) for s in full]
@@ -137,11 +143,19 @@ def _answered(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array([B.write_ints(total[i]) for i in np.split(at, ends[:-1])], pa.binary())})
 
 
-_SURVIVOR = "k binary, n int, own int, toks binary, prefix array<long>"
+#: 64-bit words of a text's parity sketch.
+SKETCH = 8
+_SURVIVOR = "id long, k binary, n int, own int, toks binary, prefix array<long>, sketch array<long>"
+
+
+def parity_sketch(s: np.ndarray) -> list[int]:
+    """A bit for each of 64 SKETCH classes of hashes: whether the set has an odd number of them."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
 def _survivors(bits: int, width: int, percent: int):
-    """A row for each text: its key and n; and, if it may have a partner, how many of its shingles no other text has, the
+    """A row for each text: a number (block and place in it), its key and n; and, if it may have a partner, how many of its shingles no other text has, the
     rest in the global order, and those of them that lie in its prefix."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -152,46 +166,94 @@ def _survivors(bits: int, width: int, percent: int):
             parts = [B.read_ints(x)[0] for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True))]
             total = np.concatenate(parts)[at] if parts else np.zeros(0, np.uint64)
             low = 0
-            for k, s in zip(b.keys, b.sets, strict=True):
+            first = key[0].as_py() << 32
+            for i, (k, s) in enumerate(zip(b.keys, b.sets, strict=True), first):
                 f = total[low : low + len(s)]
                 low += len(s)
                 own = int(np.count_nonzero(f == 1))
                 length = len(s) - needed(len(s), percent) + 1
                 if not len(s) or own >= length:
-                    out.append((k, len(s), own, None, None))
+                    out.append((i, k, len(s), own, None, None, None))
                     continue
                 order = np.lexsort((s, f))[own:]
                 toks = s[order]
-                out.append((k, len(s), own, toks.astype("<u8").tobytes(), toks[: length - own].astype(np.int64).tolist()))
-        ks, ns, owns, toks, prefixes = zip(*out, strict=True) if out else ((),) * 5
-        return pa.table({"k": pa.array(ks, pa.binary()), "n": pa.array(ns, pa.int32()), "own": pa.array(owns, pa.int32()), "toks": pa.array(toks, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                out.append((i, k, len(s), own, toks.astype("<u8").tobytes(), toks[: length - own].astype(np.int64).tolist(), parity_sketch(s)))
+            del b, at, total
+            B.trim()
+        ids, ks, ns, owns, toks, prefixes, sketches = zip(*out, strict=True) if out else ((),) * 7
+        return pa.table({"id": pa.array(ids, pa.int64()), "k": pa.array(ks, pa.binary()), "n": pa.array(ns, pa.int32()), "own": pa.array(owns, pa.int32()), "toks": pa.array(toks, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
     return run
 
 
 def _verified(percent: int):
-    def run(key: tuple[pa.Scalar, ...], partners: pa.Table, centre: pa.Table) -> pa.Table:
-        links: list[bytes] = []
-        if partners.num_rows and centre.num_rows:
-            n = centre.column("cn")[0].as_py()
-            probe = np.sort(np.frombuffer(centre.column("ctoks")[0].as_py(), "<u8"))
-            sizes = partners.column("n").to_pylist()
-            # most shared first: near-copies then begin alike
-            sets = [np.frombuffer(x.as_py(), "<u8")[::-1] for x in partners.column("toks")]
-            names = partners.column("k").to_pylist()
-            links = [names[i] for i in PrefixTree(sets).probe(probe, [overlap_for(n, m, percent) for m in sizes])]
-        return pa.table({"a": pa.array([key[0].as_py()] * len(links), pa.binary()), "b": pa.array(links, pa.binary())})
+    def run(key: tuple[pa.Scalar, ...], edges: pa.Table, sets: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if edges.num_rows and sets.num_rows:
+            size = dict(zip(sets.column("id").to_pylist(), sets.column("n").to_pylist(), strict=True))
+            toks = {i: np.frombuffer(t.as_buffer(), "<u8") for i, t in zip(sets.column("id").to_pylist(), sets.column("toks"), strict=True)}
+            by: dict[int, list[int]] = {}
+            for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+                by.setdefault(a, []).append(b)
+            for a, partners in by.items():
+                # most shared first: near-copies then begin alike
+                tree = PrefixTree([toks[b][::-1] for b in partners])
+                found += [(a, partners[i]) for i in tree.probe(np.sort(toks[a]), [overlap_for(size[a], size[b], percent) for b in partners])]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _links(candidates: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFrame:
-    """Which candidates (a, b, deg) link; deg: at least as many partners as a may have."""
+def _links(candidates: DataFrame, texts: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Which candidates (a, b, deg) link; deg: at least as many partners as a may have. Also the candidates, as pairs in
+    order. Each bucket of pairs gets the sets of its texts once."""
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / STAR).cast("long"))
     pairs = stored(candidates.select("a", "b", salt.alias("salt")), f"{label}-pairs")
-    right = pairs.join(texts.select(F.col("k").alias("b"), "n", "toks"), "b").select("a", "salt", F.col("b").alias("k"), "n", "toks")
-    left = pairs.select(F.col("a").alias("c"), F.col("salt").alias("part")).distinct().join(texts.select(F.col("k").alias("c"), F.col("n").alias("cn"), F.col("toks").alias("ctoks")), "c")
-    return stored(right.groupBy("a", "salt").cogroup(left.groupBy("c", "part")).applyInArrow(_verified(percent), "a binary, b binary"), f"{label}-links")
+    bucket = F.pmod(F.xxhash64("a", "salt"), F.lit(max(1, pairs.count() // (8 * STAR))))
+    edges = pairs.select(bucket.alias("bucket"), "a", "b")
+    ends = reduce(DataFrame.union, [pairs.select(bucket.alias("at"), F.col(c).alias("id")).distinct() for c in ("a", "b")]).distinct()
+    links = edges.groupBy("bucket").cogroup(ends.join(texts, "id").groupBy("at")).applyInArrow(_verified(percent), "a long, b long")
+    return stored(links, f"{label}-links"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The groups (id, label) after more links: components of the groups that the links touch."""
+    if not links.take(1):
+        return groups
+    if groups is None:
+        return stored(components(links, "a", "b").withColumnRenamed("node", "id"), "groups")
+    of = lambda c: groups.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    edges = stored(edges.filter("a <> b").distinct(), "group-links")
+    if not edges.take(1):
+        return groups
+    more = stored(components(edges, "a", "b"), "group-components")
+    top = more.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = groups.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    return stored(old.unionByName(more.withColumnRenamed("node", "id").join(groups.select("id"), "id", "left_anti")), "groups")
+
+
+def _labelled(post: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Postings with the label of the text's group, its own number if it has none."""
+    if groups is None:
+        return post.withColumn("label", F.col("id"))
+    return post.drop("label").join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _star(post: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """The postings of shingles that several groups post, and candidates (a, b, deg): in each of those shingles one text
+    with those of other groups."""
+    # first one order of the texts, so that texts alike choose alike; then another in each shingle
+    draw = F.xxhash64("id", F.lit(number)) if number == 0 else F.xxhash64("id", "tok", F.lit(number))
+    x = F.min_by(F.struct(F.col("id").alias("a"), F.col("label").alias("al")), draw).alias("x")
+    centre = post.groupBy("tok").agg(x, F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    centre = centre.filter("low <> high").select("tok", "x.a", "x.al", "c")
+    mixed = stored(post.join(centre, "tok"), "postings")
+    rows = mixed.filter("label <> al")
+    pairs = rows.groupBy(F.least("a", "id").alias("u"), F.greatest("a", "id").alias("v")).agg(F.min("a").alias("a"), F.max("c").alias("deg"))
+    # a centre keeps its partners; of two that are centres of each other the smaller takes the pair
+    return mixed.select("tok", "id", "n", "place"), pairs.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b"), "deg")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
@@ -201,36 +263,38 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     size = B.text_bytes(docs, text_col)
     n_blocks = B.block_count(size, block_bytes or B.BLOCK_BYTES)
     bits = min(56, max(32, math.ceil(math.log2(size / 6 + 1)) + 10))
-    blocks = B.packed(_one_each(rows.select("k", "text").filter("k is not null")), F.xxhash64("k"), n_blocks)
+    blocks = B.packed(rows.select("k", "text").filter("k is not null"), F.xxhash64("k"), n_blocks, one_each="k")
     asked = blocks.groupBy("block").applyInArrow(_asked(n_blocks, bits, width), "shard int, block int, blob binary")
     answers = asked.groupBy("shard").applyInArrow(_answered, "block int, shard int, answer binary")
     found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(bits, width, percent), _SURVIVOR), "shingle-sets")
-    texts = found.filter("toks is not null").select("k", "n", "own", "toks")
+    texts = found.filter("toks is not null").select("id", "n", "toks")
 
     # places count from 0 in the whole order: those that only this text has come first
-    post = found.filter("toks is not null").select("k", "n", "own", F.posexplode("prefix").alias("i", "tok")).select("k", "n", "tok", (F.col("i") + F.col("own")).alias("place"))
-    shared = post.groupBy("tok").agg(F.min("k").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    star = post.join(shared, "tok").filter("k <> a").groupBy("a", F.col("k").alias("b")).agg(F.max("c").alias("deg"))
-    first = _links(star, texts, percent, "star")
-    tried = star.select("a", "b")
-
-    groups = stored(components(first, "a", "b"), "groups")
-    post = post.join(groups, post["k"] == groups["node"], "left").select("k", "n", "tok", "place", F.coalesce("label", "k").alias("label"))
-    post = stored(post, "postings")
-    mixed = post.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("tok")
-    left = post.join(mixed, "tok", "left_semi")
-    right = left.select("tok", *[F.col(c).alias(f"{c}2") for c in ("k", "n", "place", "label")])
+    post = found.filter("toks is not null").select("id", "n", "own", F.posexplode("prefix").alias("i", "tok")).select("tok", "id", "n", (F.col("i") + F.col("own")).alias("place"))
+    groups, tried = None, []
+    for number in range(ROUNDS):
+        post, star = _star(_labelled(post, groups), number)
+        links, pairs = _links(star, texts, percent, "star")
+        groups = _joined(groups, links)
+        tried.append(pairs)
+    post = _labelled(post, groups)
+    mixed = post.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("tok")
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    left = stored(post.join(mixed, "tok", "left_semi").join(found.filter("toks is not null").select("id", *words), "id"), "postings")
+    right = left.select("tok", *[F.col(c).alias(f"{c}2") for c in left.columns if c != "tok"])
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(SKETCH)])
     want = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100.0 + percent) - 1e-9)
     able = (F.least("n", "n2") >= want) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= want)
+    able &= differ <= F.col("n") + F.col("n2") - 2 * want
     pairs = left.join(right, "tok").filter((F.col("label") < F.col("label2")) & able)
-    pairs = pairs.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    pairs = pairs.join(stored(tried, "tried"), ["a", "b"], "left_anti")
+    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    pairs = stored(pairs.join(reduce(DataFrame.unionByName, tried).distinct(), ["a", "b"], "left_anti"), "rest")
     degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
-    second = _links(pairs.join(degree, "a"), texts, percent, "rest")
+    groups = _joined(groups, _links(pairs.join(degree, "a"), texts, percent, "rest")[0])
 
-    whole = components(first.unionByName(second), "a", "b") if second.take(1) else groups
+    whole = groups if groups is not None else found.select("id", F.col("id").alias("label"))
     least = rows.groupBy("k").agg(F.min("doc_id").alias("least"))
-    of = found.select("k", "n").join(least, "k").join(whole.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    of = found.select("id", "k", "n").join(least, "k").join(whole, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # the smallest id, nulls last; of the texts that have it the first by key
     top = of.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("none"), "least", "k")).alias("top"))
     known = stored(of.join(top, "label").select("k", "n", F.col("top.least").alias("component_id"), (F.col("k") == F.col("top.k")).alias("best")), "classes")
@@ -251,18 +315,3 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_
         left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, "__nj_key"]))
     return left.select(*docs.columns)
 
-
-def _one_each(rows: DataFrame) -> DataFrame:
-    """One row of each text in a task: copies are the same text, and many of them must not meet in one block."""
-
-    def run(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            new = []
-            for i, k in enumerate(batch.column(0).to_pylist()):
-                if k not in seen:
-                    seen.add(k)
-                    new.append(i)
-            yield batch.take(pa.array(new, pa.int64()))
-
-    return rows.mapInArrow(run, rows.schema)

@@ -94,7 +94,7 @@ class Pooler:
     """Turns texts to features; keeps the rows of the words it has met."""
 
     #: So many different words are kept before the store starts anew.
-    MOST = 2_000_000
+    MOST = 250_000
 
     def __init__(self, words: WordVectors):
         self.words = words

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session; only where none is set (tests,
     local mode) a temporary one."""
     jsc = spark.sparkContext._jsc.sc()
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
     if not found:
         found = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(found)

@@ -107,6 +107,21 @@ SELECT doc_id, source, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NO
 FROM marked GROUP BY doc_id, source
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), items AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets), pairs AS (
+  SELECT a.r AS a, b.r AS b FROM items a JOIN items b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach(r, x) AS (
+  SELECT r, r FROM sets UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.x
+)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM reach JOIN sets s ON s.r = reach.r JOIN sets t ON t.r = reach.x GROUP BY reach.r
+"""
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -143,5 +158,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op8_line_dedup": OP8_SQL,
+    "op9_ngram_groups": OP9_SQL,
     "op10_url_filter": OP10_SQL,
 }

@@ -9,12 +9,14 @@ levels are cut into chunks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import Encoded
 from .measures import G1, G3, Measure
 from .partitions import grouped
 
@@ -59,6 +61,31 @@ def level_plan(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], weigh
     return out.select("node", rhs.alias("rhs"), "removals", "violating_pairs", "lhs_groups", "node_groups"), nodes
 
 
+def packed_plan(table: Encoded, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None) -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """level_plan() over codes: a node's key is one BIGINT, and blanking out A is a bit mask."""
+    asked: dict[tuple[str, ...], list[str]] = {}
+    for x, a in candidates:
+        asked.setdefault(tuple(sorted((*x, a))), []).append(a)
+    nodes = sorted(asked)
+    keys, masks = zip(*(table.key(n) for n in nodes), strict=True)
+    w = F.col(f"`{weight}`") if weight else F.lit(1).cast("long")
+    spread = table.data.select(w.alias("w"), F.inline(F.array(*[F.struct(F.lit(i).alias("node"), k.alias("key")) for i, k in enumerate(keys)])))
+    groups = spread.groupBy("node", "key").agg(F.sum("w").alias("c"))
+    every = sorted({a for n in nodes for a in asked[n]})
+    wanted = [[{"rhs": every.index(a), "mask": m[a]} for a in asked[n]] for n, m in zip(nodes, masks, strict=True)]
+    rows = F.from_json(F.lit(json.dumps(wanted)), "array<array<struct<rhs:int,mask:bigint>>>")
+    each = groups.select("node", "key", "c", F.inline(F.element_at(rows, F.col("node") + 1)))
+    s, m, q, c = F.col("s"), F.col("m"), F.col("q"), F.col("c")
+    per = each.groupBy("node", "rhs", F.col("key").bitwiseAND(F.col("mask")).alias("x")).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"), F.count("*").alias("d"))
+    out = per.groupBy("node", "rhs").agg(
+        F.sum(G3.group(s, m, q)).cast("long").alias("removals"),
+        F.sum(G1.group(s, m, q)).cast("long").alias("violating_pairs"),
+        F.count("*").alias("lhs_groups"),
+        F.sum("d").cast("long").alias("node_groups"),
+    )
+    return out.withColumn("rhs", F.element_at(F.array(*map(F.lit, every)), F.col("rhs") + 1)), nodes
+
+
 def chunks(candidates: Iterable[tuple[frozenset, str]], size: int = CHUNK) -> list[list[tuple[frozenset, str]]]:
     """Candidates of one node stay together; a chunk has at most `size` nodes. Sorted nodes share columns."""
     by_node: dict[tuple[str, ...], list[tuple[frozenset, str]]] = {}
@@ -68,11 +95,18 @@ def chunks(candidates: Iterable[tuple[frozenset, str]], size: int = CHUNK) -> li
     return [[c for n in nodes[i : i + size] for c in by_node[n]] for i in range(0, len(nodes), size)]
 
 
-def evaluate(df: DataFrame, candidates: Iterable[tuple[frozenset, str]], weight: str | None = None, chunk: int = CHUNK) -> dict[tuple[frozenset, str], Found]:
+def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, str]], weight: str | None = None, chunk: int = CHUNK) -> dict[tuple[frozenset, str], Found]:
     """The exact figures of all candidates. As many rows as candidates come to the driver."""
     out = {}
-    for part in chunks(candidates, chunk):
-        plan, nodes = level_plan(df, part, weight)
+    candidates = list(candidates)
+    if isinstance(table, Encoded):
+        packed = [c for c in candidates if table.fits((*c[0], c[1]))]
+        wide = [c for c in candidates if not table.fits((*c[0], c[1]))]
+        parts = [(packed_plan, table, p) for p in chunks(packed, chunk)] + [(level_plan, table.data, p) for p in chunks(wide, chunk)]
+    else:
+        parts = [(level_plan, table, p) for p in chunks(candidates, chunk)]
+    for make, data, part in parts:
+        plan, nodes = make(data, part, weight)
         for r in plan.collect():
             x = frozenset(nodes[r["node"]]) - {r["rhs"]}
             out[x, r["rhs"]] = Found(x, r["rhs"], r["removals"], r["violating_pairs"], r["lhs_groups"], r["node_groups"])

@@ -56,19 +56,29 @@ def product_encoded(df: DataFrame, left: str, right: str) -> DataFrame:
     return stripped(df.filter((F.col(left) > 0) & (F.col(right) > 0)), [left, right])
 
 
-def cluster_ids(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
-    """The clusters of two and more rows, numbered from 1 in the order of the columns (nulls first), as cluster_id.
-
-    The numbers are a global rank without a global window: groups are dealt in ranges, ranked inside each, and each
-    range starts after those before."""
-    cols = check_columns(df, columns)
-    spark = df.sparkSession
+def cluster_ids_of(groups: DataFrame, columns: Sequence[str], name: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    """Rows of distinct groups numbered from 1 in the order of the columns (nulls first), as column `name`; and how many
+    there are. The numbers are a global rank without a global window: groups are dealt in ranges, ranked inside each, and
+    each range starts after those before."""
+    spark = groups.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = materialised(stripped(df, cols).repartitionByRange(n, *cols).withColumn("__part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over n rows
-    starts = groups.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    inside = Window.partitionBy("__part").orderBy(*cols)
-    return groups.join(F.broadcast(starts.select("__part", "__start")), "__part").withColumn("cluster_id", (F.row_number().over(inside) + F.col("__start")).cast("long")).select(*cols, COUNT, "cluster_id")
+    dealt = materialised(groups.repartitionByRange(n, *columns).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row for each range
+    starts, at = [], 0
+    for part, size in sizes:
+        starts.append((part, at))
+        at += size
+    start = F.element_at(F.create_map(*[F.lit(x) for s in starts for x in s]), F.col("__part")) if 0 < len(starts) <= 200 else None
+    if start is None:
+        table = spark.createDataFrame(starts, "__part int, __start long")
+        dealt, start = dealt.join(F.broadcast(table), "__part"), F.col("__start")
+    inside = Window.partitionBy("__part").orderBy(*columns)
+    return dealt.withColumn(name, (F.row_number().over(inside) + start).cast("long")).select(*groups.columns, name), at
+
+
+def cluster_ids(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
+    """The clusters of two and more rows, numbered from 1 in the order of the columns (nulls first), as cluster_id."""
+    return cluster_ids_of(stripped(df, check_columns(df, columns)), list(columns), "cluster_id", parts)[0]
 
 
 def attribute_vector(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:

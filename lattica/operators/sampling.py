@@ -98,6 +98,20 @@ def pilot_variances(df: DataFrame, id_col: str, columns: Sequence[str], rhs: str
     return per.select(*columns, F.col("__size").alias("cluster_size"), F.col("__n").cast("long").alias("pilot_rows"), conflict_variance(F.col("__n"), F.col("__top")).alias("variance"))
 
 
+def all_pilot_variances(df: DataFrame, id_col: str, rhs: str, columns: Sequence[str], seed: int = SEED) -> DataFrame:
+    """pilot_variances() of every single column but rhs, once for a right-hand side: column, value (as text), and the
+    figures of its clusters."""
+    out: DataFrame | None = None
+    for c in columns:
+        if c != rhs:
+            v = pilot_variances(df, id_col, [c], rhs, seed)
+            v = v.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "cluster_size", "pilot_rows", "variance")
+            out = v if out is None else out.unionByName(v)
+    if out is None:
+        raise ValueError("no column besides the right-hand side")
+    return out
+
+
 def base_column(df: DataFrame, lhs: Sequence[str]) -> str:
     """The column of lhs whose clusters hold the fewest rows; ties to the first."""
     from .partitions import statistics

@@ -2,9 +2,10 @@
 
 Two searches with the same, complete result:
 
-levelwise   Level k asks every X of k columns that has no valid proper subset; a level is a few grouping-sets jobs.
+levelwise   Level k asks every X of k columns that has no valid proper subset; a level is a few grouping jobs.
             Supersets of a key are never asked for what the key determines, and a candidate is known without a job when
-            its distinct counts decide it.
+            its distinct counts decide it. Violations only grow with rows, so what a quarter of a large table already
+            rejects is rejected, exactly; only the rest is asked of the whole table.
 bestfirst   For each A, dualise and advance: the minimal sets that no known invalid set contains are tested; an invalid
             one is grown to a maximal invalid set along the largest errors, estimated on a sample first; the search ends
             when all of them are valid. It asks little where valid sets are large.
@@ -14,6 +15,7 @@ An estimate only orders the search, it never decides.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columnsets import MaximalFamily, MinimalFamily, indices, mask_of, minimal_hitting_sets
+from ..operators.encoding import Encoded, encoded
 from ..operators.levels import CHUNK, Found, evaluate
 from ..operators.measures import Measure, measure_named
 from ..operators.partitions import check_columns
@@ -64,9 +67,13 @@ class Discovery:
 
 
 class Profile:
-    """A table ready for search: its columns only, equal rows counted once if that pays, kept between jobs."""
+    """A table ready for search: its columns only, equal rows counted once if that pays, large tables as integer codes;
+    kept between jobs."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, cast_all_string: bool = False, preaggregate: bool | None = None):
+    #: Tables of so many rows are encoded, and thinned to a part in so many for a first look.
+    ENCODE_ROWS, THIN = 100_000, 4
+
+    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, cast_all_string: bool = False, preaggregate: bool | None = None, encode: bool | None = None):
         self.columns = check_columns(df, columns or df.columns)
         data = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if cast_all_string else F.col(f"`{c}`") for c in self.columns])
         self.weight = None
@@ -79,7 +86,20 @@ class Profile:
             self.total_rows = data.count()
         if preaggregate:
             data, self.weight = counted, "__rows"
+        self.encoded: Encoded | None = None
+        if (self.total_rows >= self.ENCODE_ROWS if encode is None else encode) and self.columns:
+            self.encoded = encoded(data, self.columns, [self.weight] if self.weight else [])
+            data = self.encoded.data
+        # few input splits would leave cores idle in every level: a slim table is dealt once
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if self.encoded and data.rdd.getNumPartitions() < cores:
+            data = data.repartition(cores)
         self.data = data.persist(StorageLevel.MEMORY_AND_DISK)  # recomputed from the input where an executor is lost
+        self.table = Encoded(self.data, self.encoded.bits) if self.encoded else self.data
+        self.thin: Encoded | None = None
+        if self.encoded:
+            part = F.pmod(F.xxhash64(*[f"`{c}`" for c in self.columns]), F.lit(self.THIN)) == 0
+            self.thin = Encoded(self.data.filter(part), self.encoded.bits)
 
     def close(self) -> None:
         self.data.unpersist()
@@ -142,9 +162,15 @@ def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targe
                 elif not _hopeless(groups, x, a, measure, eps, n):
                     asked.append((x, a))
                 # else: certainly over epsilon, and stays open for its supersets
-        results = evaluate(profile.data, asked, profile.weight, chunk) | known
+        first = len(asked)
+        if profile.thin and asked:
+            # where X may have as many values as the table rows, a part of them would show few violations
+            low = [c for c in asked if sum(profile.thin.bits[x] for x in c[0]) < math.log2(n)]
+            look = evaluate(profile.thin, low, profile.weight, chunk)
+            asked = [c for c in asked if c not in look or _error(look[c], measure, n) <= eps]
+        results = evaluate(profile.table, asked, profile.weight, chunk) | known
         out.validations += len(asked)
-        out.levels.append({"level": size, "asked": len(asked), "known": len(known)})
+        out.levels.append({"level": size, "asked": len(asked), "known": len(known), "rejected early": first - len(asked)})
         for (x, a), f in results.items():
             groups[x] = f.lhs_groups
             groups[x | {a}] = f.node_groups
@@ -201,7 +227,7 @@ def _bestfirst(profile: Profile, eps: float, measure: Measure, limit: int, targe
     def validate(asked: set[tuple[int, str]]) -> None:
         new = [(names(m), a) for m, a in asked if (m, a) not in memo]
         out.validations += len(new)
-        for (x, a), f in evaluate(profile.data, new, profile.weight, chunk).items():
+        for (x, a), f in evaluate(profile.table, new, profile.weight, chunk).items():
             memo[mask_of(number[c] for c in x), a] = f
 
     def estimate(mask: int, a: str) -> float:

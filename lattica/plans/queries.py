@@ -356,6 +356,14 @@ def _(spark, sf):
     return sampling.pilot_variances(df, "row_id", ["l_suppkey"], "l_returnflag")
 
 
+@query(
+    "neyman_all_columns",
+    "\nUNION ALL\n".join(f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, cluster_size, pilot_rows, variance FROM {pilot_sql('customer', c, 'c_custkey', 'c_mktsegment')}" for c in ("c_nationkey", "c_name")),
+)
+def _(spark, sf):
+    return sampling.all_pilot_variances(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", ["c_nationkey", "c_name", "c_mktsegment"])
+
+
 def allocation_sql(source: str, x: str, id_col: str, rhs: str, m: int = 200) -> str:
     """Largest remainder; the tables at hand have clusters that vary."""
     return f"""(WITH v AS ({pilot_sql(source, x, id_col, rhs)}), w AS (SELECT *, CAST(round(cluster_size * sqrt(variance), 6) AS DECIMAL(28,6)) weight FROM v),

@@ -77,3 +77,18 @@ def test_compare(spark):
     assert compare.minimal(a).count() == 30
     lines = discover(employees(spark), 0.15).show(2)
     assert len(lines) == 3 and lines[-1] == "30 dependencies"
+
+
+def test_large_tables_take_the_same_path(spark, monkeypatch):
+    from lattica.plans.discover import Profile
+
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(40), rnd.choice("abc"), rnd.randrange(3), i // 7, None if i % 3 else 1.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string, c int, d int, e double")
+    for eps, measure in ((0.05, "g3"), (0.3, "g3"), (0.02, "g1")):
+        plain = discover(df, eps, measure)
+        with monkeypatch.context() as m:
+            m.setattr(Profile, "ENCODE_ROWS", 1)
+            large = discover(df, eps, measure)
+            assert large.rows == plain.rows == discover(df, eps, measure, search="bestfirst").rows
+    assert sum(x["rejected early"] for x in large.levels) > 0

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lattica.operators import levels, measures, partitions
+from lattica.operators import encoding, levels, measures, partitions
 from tests.fixtures import ABCD, CITIES, SHAPES, SHAPES_CJK, brute_errors, employees
 
 
@@ -72,6 +72,8 @@ def test_levels_equal_definitions(spark, seed):
     cols = [f"c{i}" for i in range(k)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
     cands = [c for size in (1, 2) for c in levels.single_level(cols, size)]
+    codes = encoding.encoded(df, cols)
+    assert levels.evaluate(codes, cands, chunk=4) == levels.evaluate(encoding.Encoded(codes.data, dict.fromkeys(cols, 40)), cands) == levels.evaluate(df, cands)
     for (x, a), f in levels.evaluate(df, cands, chunk=4).items():
         g3, g1 = brute_errors(rows, [cols.index(c) for c in sorted(x)], cols.index(a))
         n = len(rows)
@@ -106,3 +108,19 @@ def test_thresholds_and_validation(spark):
     with pytest.raises(ValueError):
         measures.measure_named("g9")
     assert measures.simple_measure(["a"], 4) == 0.75
+
+
+def test_encoding(spark):
+    import datetime as dt
+
+    rows = [(i % 7 - 3, None if i % 5 == 0 else f"v{i % 11}", dt.date(2020, 1, 1 + i % 9), float(i % 4), i * 10**12, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b string, c date, d double, e long, f int")
+    codes = encoding.encoded(df, df.columns)
+    assert codes.data.columns == df.columns and codes.fits(["a", "b", "c", "d", "e"])
+    for c in df.columns:
+        both = df.select(c).distinct().count(), codes.data.select(c).distinct().count()
+        assert both[0] == both[1] and codes.data.agg({c: "max"}).first()[0] < 1 << codes.bits[c]
+    assert codes.data.groupBy(*df.columns).count().count() == df.distinct().count()
+    key, masks = codes.key(["b", "a"])
+    assert codes.data.select(key.alias("k")).distinct().count() == df.select("a", "b").distinct().count()
+    assert encoding.encoded(df.limit(0), df.columns).data.count() == 0

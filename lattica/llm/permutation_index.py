@@ -3,7 +3,8 @@
 A vector is represented by its nearest pivots in order. Each segment of the rows posts its vectors, with the pivot's
 rank, to one inverted file a pivot; a query reads the files of its own nearest pivots and so gets Spearman's footrule
 between the truncated permutations (a pivot that one side lacks has the rank after the last). The share of a segment
-with the smallest footrule, ties included, is then ranked by the exact cosine in double precision.
+with the smallest footrule, ties included, and every row whose permutation agrees with the query's by NEAR or more (so
+that a large group of near-equal vectors is searched whole) are then ranked by the exact cosine in double precision.
 
 Pivots are fitted on a bounded sample (SAMPLE rows by hash); every row is indexed. Segments have about segment_rows rows
 and meet queries in blocks of about query_rows, so a task holds one of each. Work grows as queries x rows, as the
@@ -26,14 +27,29 @@ from pyspark.sql import functions as F
 from .common import bounded_rows
 
 PIVOTS, PREFIX, SAMPLE = 256, 64, 1024
-SHARE = 0.08
+SHARE = 0.12
+#: Of the agreement of equal permutations.
+NEAR = 0.5
 #: A segment's candidates are so many at least.
 LEAST = 256
 
 
-def pivots_of(sample: np.ndarray, m: int) -> np.ndarray:
-    """Up to m distinct directions of the sample."""
-    return np.unique(sample / np.linalg.norm(sample, axis=1, keepdims=True), axis=0)[:m] if len(sample) else sample
+def pivots_of(sample: np.ndarray, m: int, alike: float = 0.9) -> np.ndarray:
+    """Up to m directions of the sample, in its order; those alike one that is taken already only if too few are left."""
+    if not len(sample):
+        return sample
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    taken: list[int] = []
+    rest: list[int] = []
+    for i, v in enumerate(unit):
+        if len(taken) == m:
+            break
+        near = (unit[taken] @ v).max() if taken else -1.0
+        if near < alike:
+            taken.append(i)
+        elif near < 1 - 1e-9:
+            rest.append(i)
+    return unit[taken + rest[: m - len(taken)]]
 
 
 class Index:
@@ -85,9 +101,10 @@ def _search(pivots: dict[int, np.ndarray], prefix: int, share: float, least: int
             q_ids, q = matrix(queries, "q", "qx")
             index = Index(x, pivots[dim], prefix)
             want = max(least, math.ceil(share * len(ids)))
+            near_cut = NEAR * index.prefix * (index.prefix + 1)
             for i, near in enumerate(index.nearest(q)):
                 agree = index.agreement(near)
-                cut = np.partition(agree, -want)[-want] if want < len(ids) else 0
+                cut = min(np.partition(agree, -want)[-want], near_cut) if want < len(ids) else 0
                 at = np.flatnonzero((agree >= cut) & (ids != q_ids[i]))
                 score = cosine(q[i], x[at])
                 if len(at) > k:

@@ -133,7 +133,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lattica.experiment", description="Discover approximate functional dependencies of a delimited file.")
     p.add_argument("--dataset", required=True)
     p.add_argument("--results-file", required=True)
-    p.add_argument("--algorithm", required=True, choices=sorted(ALGORITHMS))
+    p.add_argument("--algorithm", required=True, type=str.lower, choices=sorted(ALGORITHMS))
     p.add_argument("--sampling-mode", required=True, choices=list(CONFIGS))
     p.add_argument("--run-mode", required=True, choices=["APPEND", "OVERWRITE"])
     p.add_argument("--max-error", type=float, default=DEFAULTS["max_error"])
@@ -143,6 +143,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-lhs", type=int)
     p.add_argument("--measure", default="g3", choices=["g3", "g1"])
     p.add_argument("--no-header", action="store_true")
+    p.add_argument("--use-dynamic-threshold", action="store_true", help="accepted for older scripts; has no effect")
     p.add_argument("--verbose", action="store_true")
     return p
 

@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go, but for their first occurrence; so do documents that had no other text."""
-    clean = dedup_lines(docs).filter("n_removed = 0 OR trim(text) <> ''")
+    """Cross-site boilerplate lines of any length go, but for their first occurrence; so do documents that had no other
+    text."""
+    clean = dedup_lines(docs, min_chars=1).filter("n_removed = 0 OR trim(text) <> ''")
     return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

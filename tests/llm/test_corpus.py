@@ -249,3 +249,12 @@ def test_pipeline_stages_take_nothing_and_odd_rows(spark, sf):
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
         assert stage(spark, odd, sf).count() <= 4
+
+
+def test_pipeline_counts_short_lines(spark, sf):
+    import corpus_pipeline as cp
+
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rows = [(i, f"Les.\nText number {i} of its own.\n\nX", "fr", f"s{i}", 0) for i in range(6)] + [(9, "Les.", "fr", "s9", 4)]
+    out = {r["doc_id"]: r["text"] for r in cp.line_dedup(spark, spark.createDataFrame(rows, schema), sf).collect()}
+    assert out == {0: rows[0][1], **{i: f"Text number {i} of its own.\n" for i in range(1, 6)}}

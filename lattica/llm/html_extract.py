@@ -1,7 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
 A page is parsed into a tree that closes open paragraphs and list items as browsers do. Subtrees that never are content
-(menus, headers and footers of the page, forms, scripts, notices, adverts, comments) are left out. Each paragraph has
+(menus, headers and footers of the page, forms, scripts, notices, adverts, comments) are left out, but not those that
+wrap the page: what holds the longest <article> or <main>, or most of the page's text outside of links, stays, and if
+hardly any text would be left, so do the others. Each paragraph has
 points: one, one more for each comma, and up to three for its length; its parent gets them whole, its grandparent half
 and ancestors further up a share that falls with the distance. A container's points are discounted by its link density.
 The best container is kept, with siblings whose points come near or that are prose; if it lies in an <article> or
@@ -42,12 +44,18 @@ CLOSES = {
     "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
 }
-#: Never content.
-DROPPED = frozenset("aside button canvas dialog embed footer form head header iframe input math menu nav noscript object script search select style svg template textarea title".split())
+#: Never content, whatever they hold.
+HIDDEN = frozenset("canvas embed iframe input math script select style svg template textarea title".split())
+#: No content unless they wrap it, as elements with a class or id of BOILERPLATE.
+DROPPED = frozenset("aside button dialog footer form head header menu nav noscript object search".split())
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|shoutbox|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Other people's words: they may outweigh the page's own text, so their share does not make them content.
+APART = re.compile(r"(?:^|(?<=[\s_-]))(?<!has.)(?<!no.)(?<!with.)(?<!without.)(?:comments?|commentlist|disqus|replies|respond)(?![a-z]|[_-](?:open|closed))", re.IGNORECASE)
+#: Less than one part in so many of the page's text is hardly any.
+LITTLE = 20
 GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.IGNORECASE)
 ROLES = frozenset("banner navigation complementary contentinfo search dialog alertdialog menu menubar form".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
@@ -55,10 +63,10 @@ START = {"div": 5, "article": 10, "main": 10, "section": 2, "pre": 3, "td": 3, "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "skip", "links", "chars", "points", "bonus")
+    __slots__ = ("tag", "parent", "parts", "skip", "hidden", "apart", "links", "chars", "points", "bonus")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool, bonus: int):
-        self.tag, self.parent, self.skip, self.bonus = tag, parent, skip, bonus
+    def __init__(self, tag: str, parent: Node | None, skip: bool, hidden: bool, apart: bool, bonus: int):
+        self.tag, self.parent, self.skip, self.hidden, self.apart, self.bonus = tag, parent, skip, hidden, apart, bonus
         self.parts: list = []
         self.links = self.chars = 0
         self.points: float | None = None
@@ -69,29 +77,35 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None, False, 0)
+        self.root = self.at = Node("#root", None, False, False, False, 0)
         self.open: dict[str, int] = {}
+        self.skipped = False
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P and self.open.get("p"):
             self._close(("p",), ("table", "article", "section", "main", "td"))
         elif tag in CLOSES:
             self._close(*CLOSES[tag])
-        skip = self.at.skip or tag in DROPPED
+        hidden, skip, apart = self.at.hidden or tag in HIDDEN, tag in DROPPED, self.at.apart
         bonus = START.get(tag, 0)
         for k, v in attrs:
             if k in ("class", "id") and v:
+                if tag not in ("body", "html", "main") and APART.search(v):
+                    apart = True
                 if tag not in ("body", "html", "article", "main") and BOILERPLATE.search(v):
                     skip = True
                 elif GOOD.search(v):
                     bonus += 25
-            elif k == "hidden" or k == "role" and v in ROLES or k == "aria-hidden" and v == "true":
+            elif k == "hidden":
+                hidden = True
+            elif k == "role" and v in ROLES or k == "aria-hidden" and v == "true":
                 skip = True
         if tag in VOID:
             if tag in BLOCK:
                 self.at.parts.append(" ")
             return
-        node = Node(tag, self.at, skip, bonus)
+        self.skipped = self.skipped or skip
+        node = Node(tag, self.at, skip or hidden, hidden, apart, bonus)
         self.at.parts.append(node)
         self.at = node
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -122,7 +136,7 @@ class _Tree(HTMLParser):
             self._close(names, fences)
 
     def handle_data(self, data):
-        if not self.at.skip:
+        if not self.at.hidden:
             self.at.parts.append(data)
 
     def unknown_decl(self, data):
@@ -130,16 +144,63 @@ class _Tree(HTMLParser):
             self.handle_data(data[6:])
 
 
-def _walk(root: Node) -> list[Node]:
-    """Kept nodes in page order, parents first."""
+def _walk(root: Node, skipped: bool = False) -> list[Node]:
+    """Kept nodes in page order, parents first; with the skipped ones, but for those that are hidden."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.skip]
+        todo += [x for x in reversed(node.parts) if isinstance(x, Node) and not (x.hidden if skipped else x.skip)]
     return out
 
 
+def _measure(nodes: list[Node], skipped: bool = False) -> None:
+    """Sets the characters of each node, and those of links."""
+    for node in reversed(nodes):  # children first
+        chars = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+        links = chars if node.tag == "a" else 0
+        for x in node.parts:
+            if isinstance(x, Node) and not (x.hidden if skipped else x.skip):
+                chars += x.chars
+                links += x.chars if node.tag == "a" else x.links
+        node.chars, node.links = chars, links
+
+
+def _unwrap(root: Node) -> None:
+    """Takes skip from elements that wrap the page's text."""
+    nodes = _walk(root, skipped=True)
+    _measure(nodes, skipped=True)
+    prose = {n: n.chars - n.links for n in nodes}
+    total = prose[root]
+    if not total:
+        return
+    own = total - sum(prose[n] for n in nodes if n.apart and not n.parent.apart)
+    alone = own * LITTLE < total  # hardly any text but comments
+    found, done = False, set()
+    for tag in ("main", "article"):
+        held = [n for n in nodes if n.tag == tag and prose[n] and (alone or not n.apart)]
+        most = max((prose[n] for n in held), default=0)
+        for up in (n for n in held if 2 * prose[n] >= most):
+            found = True
+            seen = up.parent
+            while seen is not None and seen not in done:
+                done.add(seen)
+                seen.skip = False
+                seen = seen.parent
+    for n in nodes:
+        if n.skip and 2 * prose[n] > total and (alone or not n.apart):
+            n.skip = False
+    if found:
+        return
+    for apart in (False, True):
+        kept = _walk(root)
+        outer = [x for n in kept for x in n.parts if isinstance(x, Node) and x.skip and not x.hidden]
+        left = total - sum(prose[x] for x in outer)
+        if left * LITTLE < total if not apart else not left:
+            for x in outer:
+                x.skip = x.skip and x.apart and not apart
+
+
 def _text(root: Node) -> str:
     """Blocks in page order, white space inside each as one space."""
     out: list[str] = []
@@ -166,16 +227,11 @@ def main_text(html: str) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if tree.skipped:
+        _unwrap(tree.root)
     nodes = _walk(tree.root)
     own: dict[Node, str] = {}
-    for node in reversed(nodes):  # children first: characters, and those of links
-        chars = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
-        links = chars if node.tag == "a" else 0
-        for x in node.parts:
-            if isinstance(x, Node) and not x.skip:
-                chars += x.chars
-                links += x.chars if node.tag == "a" else x.links
-        node.chars, node.links = chars, links
+    _measure(nodes)
     scored: list[Node] = []
     for node in nodes:
         inline = [x for x in node.parts if isinstance(x, Node) and not x.skip and x.tag in BLOCK]

@@ -28,6 +28,25 @@ def test_containers_are_scored():
     assert hx.main_text(html) == f"{PARA} {PARA} said, he {PARA} A sibling."
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='site no-sidebar'", "div id='content-with-sidebar'", "div class='page-wrapper sticky-header'", "form", "div role=form", "div class='post has-comments'", "aside"])
+def test_wrappers_are_no_boilerplate(wrapper):
+    side = f"<div class='sidebar widget'><p>{PARA}</p></div>"
+    talk = f"<section id=comments><article class=comment-body><p>{PARA} {PARA} {PARA} {PARA}</p></article></section>"
+    end = f"</{wrapper.split()[0]}>"
+    for inside, text in ((f"<article><h1>Head</h1><p>{PARA}</p></article>", f"Head {PARA}"), (f"<main><p>{PARA}</p></main>", PARA), (f"<div class=content><p>{PARA}</p><p>{PARA}</p></div>", f"{PARA} {PARA}")):
+        assert hx.main_text(f"<body>{NOISE}<{wrapper}>{inside}{side}{end}<footer>me, you</footer></body>") == text
+        assert hx.main_text(f"<body>{NOISE}<{wrapper}>{inside}{end}</body>") == text
+    for inside in ("<article><p>Brief, but an article.</p></article>", "<main><div class='row no-sidebar'><article><p>Brief, but an article.</p></article></div></main>"):
+        assert hx.main_text(f"<body>{NOISE}<{wrapper}>{inside}{side}{end}{talk}</body>") == "Brief, but an article."
+    assert hx.main_text(f"<body><{wrapper}><p>{PARA}</p>{end}<{wrapper}><p>{PARA}</p>{end}</body>") == f"{PARA} {PARA}"
+
+
+def test_comments_are_left_out_however_long():
+    talk = "".join(f"<p>{PARA}</p>" for _ in range(9))
+    assert hx.main_text(f"<body><div class=post><p>{PARA}</p></div><div id=comments>{talk}</div></body>") == PARA
+    assert hx.main_text("<body><nav><a href=/>Home</a></nav></body>") == ""
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("  ", ""), ("<p>", ""), ("plain words", "plain words"), ("<div>short</div>", "short"), ("<article><p>x</article>", "x"), ("<p>a<p>b<table><tr><td>c<td>d</table>", "a b c d"), ("<!-- <p>no</p> --><p>yes &lt;b&gt;</p>", "yes <b>"), ("<article>" + "<div>" * 20000 + "deep" + "</div>" * 20000, "deep")])
 def test_odd_pages(html, text):
     assert hx.main_text(html) == text

@@ -8,12 +8,15 @@ quotas rank inside a cluster, after each task has dropped what is beyond the lar
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.shared import materialised
 from .measures import Measure, conflict_variance, measure_named
 from .partitions import check_columns, partition
 
@@ -139,24 +142,43 @@ def neyman_allocation(variances: DataFrame, columns: Sequence[str], m: int) -> D
     return out.withColumn("allocation", F.least(F.col("cluster_size"), F.col("__floor") + F.coalesce("__one", F.lit(0))).cast("long")).select(*columns, "cluster_size", "variance", "allocation")
 
 
-def _even(w: DataFrame, columns: Sequence[str], m: int, k: int) -> DataFrame:
-    """The sequential split depends on the sizes in order, through running remainders: while every cluster so far holds
-    its even share it is m // k for all. Clusters under m / k are few values, so the driver walks the distinct runs."""
+def _split(sizes: Iterable[int], left: int, clusters: int) -> tuple[list[int], int]:
+    """Of `left` rows each cluster in turn gets min(N, what is left / clusters left): the shares, and what is left then."""
+    out = []
+    for size in sizes:
+        got = min(size, left // clusters)
+        left, clusters = left - got, clusters - 1
+        out.append(got)
+    return out, left
+
+
+def _even(w: DataFrame, columns: Sequence[str], m: int, k: int, block_rows: int = 100_000) -> DataFrame:
+    """The sequential split depends on the sizes in order, through running remainders. Clusters are dealt to blocks by
+    range; the driver walks the sizes of one block at a time for what is left before each, and the blocks are then split
+    side by side."""
     if k == 0:
         return w.select(*columns, "cluster_size", "variance", F.lit(0).cast("long").alias("allocation"))
-    if k <= 100_000:  # the order is a list on the driver
-        rows = w.orderBy(*columns).select(*columns, "cluster_size", "variance").collect()
-        left, out = m, []
-        for i, r in enumerate(rows):
-            got = min(r["cluster_size"], left // (k - i))
-            left -= got
-            out.append((*[r[c] for c in columns], r["cluster_size"], r["variance"], got))
-        schema = w.select(*columns, "cluster_size", "variance").schema.add("allocation", "long")
-        return w.sparkSession.createDataFrame(out, schema)
-    # more clusters than sample rows: the split gives min(N, 1) to the last m of them, 0 before (m // (k - i) is 0 until k - i <= m)
-    last = w.orderBy(*[F.desc(c) for c in columns]).limit(m).select(*[F.col(c).alias(f"__{c}") for c in columns], F.lit(1).alias("__one"))
-    out = w.join(last, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns], "left")
-    return out.select(*columns, "cluster_size", "variance", F.coalesce("__one", F.lit(0)).cast("long").alias("allocation"))
+    w = w.select(*columns, "cluster_size", "variance")
+    schema = StructType([*w.schema.fields, StructField("allocation", LongType())])
+    if k <= block_rows:  # the order is a list on the driver
+        rows = w.orderBy(*columns).collect()
+        given, _ = _split([r["cluster_size"] for r in rows], m, k)
+        return w.sparkSession.createDataFrame([(*r, got) for r, got in zip(rows, given, strict=True)], schema)
+    ranged = w.repartitionByRange(-(-k // block_rows), *columns).withColumn("__block", F.spark_partition_id())
+    placed = materialised(ranged.sortWithinPartitions(*columns).withColumn("__at", F.monotonically_increasing_id()), "clusters")
+    starts, left, clusters = {}, m, k
+    for block in sorted(r[0] for r in placed.select("__block").distinct().collect()):
+        sizes = placed.filter(F.col("__block") == block).orderBy("__at").select("cluster_size").toArrow().column(0).to_pylist()
+        starts[block] = (left, clusters)
+        _, left = _split(sizes, left, clusters)
+        clusters -= len(sizes)
+
+    def split(block: pa.Table) -> pa.Table:
+        block = block.sort_by("__at")
+        given, _ = _split(block.column("cluster_size").to_pylist(), *starts[block.column("__block")[0].as_py()])
+        return block.drop_columns(["__block", "__at"]).append_column("allocation", pa.array(given, pa.int64()))
+
+    return placed.groupBy("__block").applyInArrow(split, schema)
 
 
 def sample_neyman(df: DataFrame, id_col: str, lhs: Sequence[str], rhs: str, param: float = 200, seed: int = SEED, total_rows: int | None = None) -> Sample:

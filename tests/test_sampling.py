@@ -53,6 +53,26 @@ def test_neyman(rows, spark):
     assert {r["k"]: r["allocation"] for r in sampling.neyman_allocation(flat, ["k"], 30).collect()} == {"x": 3, "y": 13, "z": 14}
 
 
+@pytest.mark.parametrize("m", [0, 300, 1000, 2500, 9000, 10**6])
+def test_even_split_over_blocks(spark, m):
+    sizes = [(None if i == 0 else f"k{i:04d}", 2 + i * i % 13, 0.0) for i in range(1000)]
+    left, expected = m, {}
+    for i, (k, n, _) in enumerate(sizes):
+        expected[k] = min(n, left // (1000 - i))
+        left -= expected[k]
+    w = spark.createDataFrame(sizes, "k string, cluster_size long, variance double").repartition(5)
+    for block_rows in (100_000, 130):
+        got = sampling._even(w, ["k"], m, 1000, block_rows)
+        assert got.columns == ["k", "cluster_size", "variance", "allocation"]
+        assert {r["k"]: r["allocation"] for r in got.collect()} == expected
+
+
+def test_even_split_of_many_clusters(spark):
+    flat = spark.range(150_000).selectExpr("id k", "10L cluster_size", "0D variance")
+    got = sampling.neyman_allocation(flat, ["k"], 1_000_000).selectExpr("sum(allocation) s", "min(allocation) a", "max(allocation) b", "count(*) n").first()
+    assert tuple(got) == (1_000_000, 6, 7, 150_000)
+
+
 def test_variance_is_the_sample_variance(spark):
     from statistics import variance
 

@@ -2,7 +2,8 @@
 
 Source token shares p are raised to an exponent a and normalised. Smaller exponents flatten the mixture; the smallest a
 in [0, 1] is found by bisection for which the entropy does not exceed its target and no source repeats more often than
-its limit. The weights become token budgets, and each source gives its documents in epochs, each a permutation of the
+its limit. Exponents above 1 would leave parts of small sources out, so where 1 does not keep a limit the natural shares
+stay, and a warning says which limit is missed. The weights become token budgets, and each source gives its documents in epochs, each a permutation of the
 whole source, up to its budget; the stream of each source is cut to as many blocks as the mixture has, so that each
 block holds the sources at the target weights, and the documents of a block are permuted.
 
@@ -16,6 +17,7 @@ drawn like others; a corpus without tokens or an empty table gives an empty resu
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -33,6 +35,7 @@ class Mixture:
     exponent: float
     sources: tuple  # of (source, tokens, documents, weight, budget)
     budget: int
+    unmet: tuple = ()  # a sentence for each limit that the weights miss
 
 
 def entropy(weights: list[float]) -> float:
@@ -67,6 +70,17 @@ def solve_exponent(tokens: list[int], budget: int, entropy_ratio: float | None,
     return high
 
 
+def unmet_limits(tokens: list[int], weights: list[float], budget: int, entropy_ratio: float | None, max_repetition: float | None) -> tuple:
+    out = []
+    n = sum(t > 0 for t in tokens)
+    if entropy_ratio is not None and n > 1 and entropy(weights) > entropy_ratio * math.log(n) + 1e-9:
+        out.append(f"the entropy is {entropy(weights) / math.log(n):.4f} of its maximum, above the target {entropy_ratio}, for the sources' own shares are flatter")
+    most = max((budget * w / t for w, t in zip(weights, tokens, strict=True) if t), default=0.0)
+    if max_repetition is not None and most > max_repetition * (1 + 1e-9):
+        out.append(f"a source is drawn {most:.4f} times, above the limit {max_repetition}")
+    return tuple(out)
+
+
 def plan_mixture(stats: list[tuple], budget: int | None, entropy_ratio: float | None, max_repetition: float | None) -> Mixture:
     """stats: (source, tokens, documents). budget: tokens to draw, by default as many as there are."""
     stats = sorted(stats, key=lambda s: (s[0] is not None, s[0]))
@@ -76,7 +90,8 @@ def plan_mixture(stats: list[tuple], budget: int | None, entropy_ratio: float |
         return Mixture(1.0, (), 0)
     a = solve_exponent(tokens, total, entropy_ratio, max_repetition)
     weights = tempered(tokens, a)
-    return Mixture(a, tuple((s, t, n, w, w * total) for (s, t, n), w in zip(stats, weights, strict=True)), total)
+    unmet = unmet_limits(tokens, weights, total, entropy_ratio, max_repetition)
+    return Mixture(a, tuple((s, t, n, w, w * total) for (s, t, n), w in zip(stats, weights, strict=True)), total, unmet)
 
 
 def token_count(text: F.Column) -> F.Column:
@@ -90,6 +105,8 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy_ratio: float
     counted = docs.select(*names, token_count(F.col(text_col)).alias("n_tokens"))
     stats = counted.groupBy(source_col).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
     mix = plan_mixture([(r[0], r["t"], r["n"]) for r in bounded_rows(stats, MAX_SOURCES, "sources")], budget, entropy_ratio, max_repetition)
+    for missed in mix.unmet:
+        warnings.warn(f"mixture: {missed}", stacklevel=2)
     spark = docs.sparkSession
     kind = docs.schema[source_col].dataType.simpleString()
     n_blocks = max(1, math.ceil(mix.budget / block_tokens))

@@ -87,6 +87,17 @@ def test_exponent():
     assert mixing.solve_exponent([5], 5, 0.5, 1.0) == 0 and mixing.tempered([5, 0], 0.5) == [1.0, 0.0]
 
 
+def test_limits_that_cannot_be_met_are_reported(spark):
+    flat = mixing.plan_mixture([("a", 100, 1), ("b", 101, 1), ("c", 99, 1)], None, 0.95, 2.0)
+    assert flat.exponent == 1 and len(flat.unmet) == 1 and "entropy" in flat.unmet[0]
+    assert "drawn 3.0000 times" in mixing.plan_mixture([("a", 900, 1), ("b", 100, 1)], 3000, None, 2.0).unmet[0]
+    assert mixing.plan_mixture([("a", 900, 1), ("b", 50, 1), ("c", 50, 1)], None, 0.8, None).unmet == ()
+    assert mixing.plan_mixture([("a", 5, 1)], None, 0.5, 1.0).unmet == () == mixing.plan_mixture([("a", 0, 1)], None, 0.5, 1.0).unmet
+    df = spark.createDataFrame([(i, "a b c", f"s{i % 4}") for i in range(40)], "doc_id long, text string, source string")
+    with pytest.warns(UserWarning, match="mixture: the entropy is 1.0000"):
+        assert mixing.mix_sources(df).count() == 40
+
+
 def test_mixture(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "hot" if i % 3 else f"s{i % 12}") for i in range(3000)] + [(None, "a b", None), (None, None, "hot"), (9000, "", "hot")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -6,7 +6,7 @@ all exact pieces in a document, each hit gives the window where its item could l
 are verified together with Myers' bit-parallel edit distance (the item against any substring of the window).
 
 Texts are compared in lower case with white space as single spaces. Items under min_chars normalised characters are too
-short to tell and match nothing.
+short to be told when altered: they match unaltered, between word boundaries, only.
 
 Items are sent to the executors in chunks of at most max_item_bytes; more of them mean more passes over the documents,
 not a larger broadcast.
@@ -76,6 +76,11 @@ def myers(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]
     return None if best > most else (best, at)
 
 
+def between_words(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 class Matcher:
     """Finds items in texts."""
 
@@ -85,12 +90,13 @@ class Matcher:
         at: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text or "")
-            if len(t) < min_chars:
+            if not t:
                 continue
-            k = int(error_rate * len(t))
+            whole = len(t) < min_chars
+            k = 0 if whole else int(error_rate * len(t))
             for offset, piece in pieces(t, k):
                 at.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, t, k, masks(t)))
+            self.items.append((item_id, t, k, None if whole else masks(t)))
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
         if at:
@@ -102,14 +108,22 @@ class Matcher:
             return []
         t = normal(text)
         windows: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, int] = {}  # their first ends
         for end, (length, where) in self.automaton.iter(t):
             start = end + 1 - length
             for i, offset in where:
-                _, item, k, _ = self.items[i]
+                _, item, k, peq = self.items[i]
+                if peq is None:
+                    if i not in short and between_words(t, start, end + 1):
+                        short[i] = end + 1
+                    continue
                 windows.setdefault(i, []).append((start - offset - k, start - offset + len(item) + k))
         out = []
-        for i in sorted(windows):
+        for i in sorted(windows.keys() | short.keys()):
             item_id, item, k, peq = self.items[i]
+            if i in short:
+                out.append((item_id, 0, short[i]))
+                continue
             merged: list[list[int]] = []
             for a, b in sorted(windows[i]):
                 if merged and a <= merged[-1][1]:

@@ -155,6 +155,14 @@ def test_matches_equal_brute_force(spark):
     assert dc.find_items(df.limit(0), bench).count() == 0
 
 
+def test_short_items_match_whole(spark):
+    items = spark.createDataFrame([(1, "What  is pi?"), (2, "art"), (3, " "), (4, "x" * 40)], "item_id long, text string")
+    texts = ["So: what is\nPI? Tell.", "what is pie?", "what iss pi?", "partly smart", "smart Art, it is", "art", "(what is pi?)art"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in dc.find_items(df, items).collect()}
+    assert got == {0: [(1, 0, 15)], 1: [], 2: [], 3: [], 4: [(2, 0, 9)], 5: [(2, 0, 3)], 6: [(1, 0, 12), (2, 0, 16)]}
+
+
 def test_shapes():
     assert ql.shape(b"the&&&") == ql.shape(b"and&&&") != ql.shape(b"the,")
     assert len({ql.shape(w) for w in (b"THE!!", b"The", b"the", b"|", b"42", b"a1b", "été".encode(), "ÉTÉ".encode())}) == 7

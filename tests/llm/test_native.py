@@ -87,6 +87,16 @@ def test_exponent():
     assert mixing.solve_exponent([5], 5, 0.5, 1.0) == 0 and mixing.tempered([5, 0], 0.5) == [1.0, 0.0]
 
 
+def test_many_sources_are_planned_as_a_table(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), None if i % 50 == 7 else "hot" if i % 3 else f"s{i % 90}") for i in range(2000)] + [(9000, "", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r["doc_id"], r["source"] or "", r["epoch"], r["block"], r["slot"])
+    for limits in ({"entropy_ratio": 0.8}, {"entropy_ratio": None, "max_repetition": 1.5}, {"budget": 9000, "entropy_ratio": 0.7}):
+        few, many = (mixing.mix_sources(df, **limits, block_tokens=1000, range_rows=50, max_sources=n).collect() for n in (1000, 3))
+        assert len(few) > 1500 and sorted(map(key, few)) == sorted(map(key, many))
+    assert mixing.mix_sources(df.filter("text = ''").union(df.selectExpr("doc_id", "''", "source")), max_sources=3).count() == 0
+
+
 def test_limits_that_cannot_be_met_are_reported(spark):
     flat = mixing.plan_mixture([("a", 100, 1), ("b", 101, 1), ("c", 99, 1)], None, 0.95, 2.0)
     assert flat.exponent == 1 and len(flat.unmet) == 1 and "entropy" in flat.unmet[0]

@@ -4,12 +4,15 @@ The model is a bigram model with interpolated Witten-Bell smoothing. Its states
 that was seen, and one for the start of a text); an arc leads from a context h over a word w that followed it, with
 weight log10((c(hw) + t(h) p(w)) / (c(h) + t(h))), where t(h) is how many different words followed h and p is the base
 distribution; the failure arc of a context leads to the root with weight log10(t(h) / (c(h) + t(h))), and the root has
-an arc for every word with weight log10 p(w). So the weights that leave each state are a probability distribution. One
-pass from left to right over a text carries the state, follows the word's arc or fails to the root first, and adds the
-weights, the end of the text included.
+an arc for every word with weight log10 p(w). So the weights that leave each state are a probability distribution. A
+text's score is the sum of the weights on its way through the states, the end of the text included.
+
+The automaton is not built, and no pass carries a state: at order two the state before a token is the token before it, so
+the weights of all tokens are looked up side by side as (previous word, word) pairs, with the one failure step where
+the pair was not seen. There is no parameter for a higher order.
 
 The counts are corpus-wide and distributed: blocks of documents ask the shards of the count table (see blocks.py), sharded
-by context, and build the part of the automaton that their own texts can reach. Words are told apart by 64 bits of hash,
+by context, for the counts that their own texts need. Words are told apart by 64 bits of hash,
 the second word of a bigram by 40 bits within its context. Two passes over the texts: counting, scoring.
 
 Cases: a null or empty text has the end as its only token; without any training document all counts are zero; repeated

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,9 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
-_written: list[tuple[SparkSession, str]] = []
+#: Paths that stored() has written and nobody has discarded, with their sessions.
+_written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,32 +26,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where none is set (tests,
-    local mode) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where none is set a temporary one
+    serves a local master, whose executor is the driver; any other master is an error."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None) or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. The
+    shuffle files of the job go when it ends, the table with discard() or at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    with _shuffles_end_with_the_job(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
+
+
+def built_on(table: DataFrame, out: DataFrame) -> DataFrame:
+    """out, for which discard() deletes the table of stored() that it reads."""
+    out._lattica_path = getattr(table, "_lattica_path", None)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of stored() that no later job reads."""
+    for t in tables:
+        path = getattr(t, "_lattica_path", None)
+        spark = _written.pop(path, None) if path else None
+        if spark is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
     """Delete what stored() has written, once no DataFrame built on it is needed any more."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001  the session has ended already; its folder goes with it
             return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import built_on, discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,10 +24,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = stored(large, "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = now
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        discard(old, large)
         after = _state(now)
         if after == before:
             break
         before = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    return built_on(now, now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots))

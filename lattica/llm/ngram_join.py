@@ -18,7 +18,8 @@ Equal texts are one node from the start. The rest is exact:
 Verification keeps the ordered sets of the partners of a text in a prefix tree. It is walked with the running overlap,
 which partners that begin alike share, and a subtree is left once what remains of its sets cannot reach the overlap.
 
-Shingles are told apart by 64 bits of hash; the counts that only order them, by fewer.
+Shingles are told apart by 64 bits of hash until the shards have counted them; those that several texts hold then have
+numbers, which are shorter to move.
 
 Cases: null texts and those without words have an empty set and link with nothing, equal ones included; a text with
 fewer words than a shingle is one shingle; repeated rows and copies are members of their text's group; a null doc_id
@@ -27,7 +28,6 @@ has a null component if all of its group are null; empty tables give empty resul
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import Vocabulary, mix64, stored, words_of
+from .common import Vocabulary, built_on, discard, mix64, stored, words_of
 from .components import components
 
 WIDTH = 5
@@ -46,6 +46,8 @@ PERCENT = 75
 STAR = 256
 #: Rounds of stars before the remaining pairs are listed.
 ROUNDS = 2
+#: Postings of one shingle that are paired by one task; longer lists are dealt to a grid of tasks.
+TILE = 256
 
 
 def shingles(ids: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -116,18 +118,17 @@ class _Block:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
         self.sets = [shingles(i, hashes, width) for i in ids]
 
-    def counted(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct shingles (their first bits), where each of all sets stands in them, how many texts have each."""
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct shingles, where each of all sets stands in them, how many texts have each."""
         every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
-        keys, at, n = np.unique(every >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        return keys, at, n
+        return np.unique(every, return_inverse=True, return_counts=True)
 
 
-def _asked(shards: int, bits: int, width: int):
+def _asked(shards: int, width: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, _, n = _Block(t, width).counted(bits)
+        keys, _, n = _Block(t, width).counted()
         B.trim()
-        cut = np.searchsorted(B.shard_of(keys << np.uint64(64 - bits), shards), np.arange(shards + 1))
+        cut = np.searchsorted(B.shard_of(keys, shards), np.arange(shards + 1))
         full = [s for s in range(shards) if cut[s + 1] > cut[s]]
         blobs = [B.write_ints(B.deltas(keys[cut[s] : cut[s + 1]]), n[cut[s] : cut[s + 1]]) for s in full]
         return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "blob": pa.array(blobs, pa.binary())})
@@ -135,12 +136,24 @@ def _asked(shards: int, bits: int, width: int):
     return run
 
 
-def _answered(t: pa.Table) -> pa.Table:
-    asked = [B.read_ints(x.as_buffer().to_pybytes()) for x in t.column("blob")]
-    _, at = np.unique(np.concatenate([B.undeltas(a[0]) for a in asked]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([a[1] for a in asked]).astype(np.float64)).astype(np.uint64)
-    ends = np.cumsum([len(a[0]) for a in asked])
-    return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array([B.write_ints(total[i]) for i in np.split(at, ends[:-1])], pa.binary())})
+def _answered(shards: int):
+    """How many texts have each shingle that a block asks for; and a number, the same for all blocks, of each that
+    several have. The numbers grow with the hash."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        asked = [B.read_ints(x.as_buffer().to_pybytes()) for x in t.column("blob")]
+        _, at = np.unique(np.concatenate([B.undeltas(a[0]) for a in asked]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([a[1] for a in asked]).astype(np.float64)).astype(np.uint64)
+        ends = np.cumsum([len(a[0]) for a in asked])
+        del asked
+        number = np.cumsum(total > 1).astype(np.uint64) * np.uint64(shards) + np.uint64(key[0].as_py())
+        blobs = []
+        for i in np.split(at, ends[:-1]):
+            f = total[i]
+            blobs.append(B.write_ints(f, B.deltas(number[i][f > 1])))
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "answer": pa.array(blobs, pa.binary())})
+
+    return run
 
 
 #: 64-bit words of a text's parity sketch.
@@ -154,31 +167,35 @@ def parity_sketch(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def _survivors(bits: int, width: int, percent: int):
-    """A row for each text: a number (block and place in it), its key and n; and, if it may have a partner, how many of its shingles no other text has, the
-    rest in the global order, and those of them that lie in its prefix."""
+def _survivors(width: int, percent: int):
+    """A row for each text: a number (block and place in it), its key and n; and, if it may have a partner, how many of its
+    shingles no other text has, the rest in the global order, and those of them that lie in its prefix."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if docs.num_rows:
             b = _Block(docs, width)
-            _, at, _ = b.counted(bits)
-            parts = [B.read_ints(x)[0] for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True))]
-            total = np.concatenate(parts)[at] if parts else np.zeros(0, np.uint64)
+            _, at, _ = b.counted()
+            parts = [B.read_ints(x) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True))]
+            known = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+            number = np.zeros(len(known), np.uint64)
+            if parts:
+                number[known > 1] = np.concatenate([B.undeltas(p[1]) for p in parts])
             low = 0
             first = key[0].as_py() << 32
             for i, (k, s) in enumerate(zip(b.keys, b.sets, strict=True), first):
-                f = total[low : low + len(s)]
+                mine = at[low : low + len(s)]
+                f = known[mine]
                 low += len(s)
                 own = int(np.count_nonzero(f == 1))
                 length = len(s) - needed(len(s), percent) + 1
                 if not len(s) or own >= length:
                     out.append((i, k, len(s), own, None, None, None))
                     continue
-                order = np.lexsort((s, f))[own:]
-                toks = s[order]
-                out.append((i, k, len(s), own, toks.astype("<u8").tobytes(), toks[: length - own].astype(np.int64).tolist(), parity_sketch(s)))
-            del b, at, total
+                toks = number[mine]
+                toks = toks[np.lexsort((toks, f))[own:]]
+                out.append((i, k, len(s), own, B.write_ints(toks), toks[: length - own].astype(np.int64).tolist(), parity_sketch(s)))
+            del b, at, known, number
             B.trim()
         ids, ks, ns, owns, toks, prefixes, sketches = zip(*out, strict=True) if out else ((),) * 7
         return pa.table({"id": pa.array(ids, pa.int64()), "k": pa.array(ks, pa.binary()), "n": pa.array(ns, pa.int32()), "own": pa.array(owns, pa.int32()), "toks": pa.array(toks, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
@@ -191,7 +208,7 @@ def _verified(percent: int):
         found: list[tuple[int, int]] = []
         if edges.num_rows and sets.num_rows:
             size = dict(zip(sets.column("id").to_pylist(), sets.column("n").to_pylist(), strict=True))
-            toks = {i: np.frombuffer(t.as_buffer(), "<u8") for i, t in zip(sets.column("id").to_pylist(), sets.column("toks"), strict=True)}
+            toks = {i: B.read_ints(t.as_buffer().to_pybytes())[0] for i, t in zip(sets.column("id").to_pylist(), sets.column("toks"), strict=True)}
             by: dict[int, list[int]] = {}
             for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
                 by.setdefault(a, []).append(b)
@@ -205,6 +222,32 @@ def _verified(percent: int):
     return run
 
 
+def _able(percent: int) -> Column:
+    """Whether sets of n and n2 can link if place and place2 are those of the first shingle that they share."""
+    want = _want(percent)
+    return (F.least("n", "n2") >= want) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= want)
+
+
+def _want(percent: int) -> Column:
+    return F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100.0 + percent) - 1e-9)
+
+
+def _alike(percent: int) -> Column:
+    """Whether the sketches s0, s1, ... and s02, s12, ... allow the overlap."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(SKETCH)])
+    return differ <= F.col("n") + F.col("n2") - 2 * _want(percent)
+
+
+def _second(df: DataFrame, *but: str) -> DataFrame:
+    return df.select(*but, *[F.col(c).alias(f"{c}2") for c in df.columns if c not in but])
+
+
+def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, deg) whose sizes and sketches allow a link."""
+    known = pairs.join(facts.withColumnRenamed("id", "a"), "a").join(_second(facts).withColumnRenamed("id2", "b"), "b")
+    return known.filter((F.least("n", "n2") >= _want(percent)) & _alike(percent)).select("a", "b", "deg")
+
+
 def _links(candidates: DataFrame, texts: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
     """Which candidates (a, b, deg) link; deg: at least as many partners as a may have. Also the candidates, as pairs in
     order. Each bucket of pairs gets the sets of its texts once."""
@@ -214,7 +257,7 @@ def _links(candidates: DataFrame, texts: DataFrame, percent: int, label: str) ->
     edges = pairs.select(bucket.alias("bucket"), "a", "b")
     ends = reduce(DataFrame.union, [pairs.select(bucket.alias("at"), F.col(c).alias("id")).distinct() for c in ("a", "b")]).distinct()
     links = edges.groupBy("bucket").cogroup(ends.join(texts, "id").groupBy("at")).applyInArrow(_verified(percent), "a long, b long")
-    return stored(links, f"{label}-links"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(links, f"{label}-links"), pairs
 
 
 def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -222,16 +265,20 @@ def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:
     if not links.take(1):
         return groups
     if groups is None:
-        return stored(components(links, "a", "b").withColumnRenamed("node", "id"), "groups")
+        first = components(links, "a", "b")
+        return built_on(first, first.withColumnRenamed("node", "id"))
     of = lambda c: groups.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     edges = stored(edges.filter("a <> b").distinct(), "group-links")
     if not edges.take(1):
+        discard(edges)
         return groups
-    more = stored(components(edges, "a", "b"), "group-components")
+    more = components(edges, "a", "b")
     top = more.select(F.col("node").alias("label"), F.col("label").alias("top"))
     old = groups.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
-    return stored(old.unionByName(more.withColumnRenamed("node", "id").join(groups.select("id"), "id", "left_anti")), "groups")
+    out = stored(old.unionByName(more.withColumnRenamed("node", "id").join(groups.select("id"), "id", "left_anti")), "groups")
+    discard(edges, more, groups)
+    return out
 
 
 def _labelled(post: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -241,56 +288,69 @@ def _labelled(post: DataFrame, groups: DataFrame | None) -> DataFrame:
     return post.drop("label").join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _star(post: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+def _star(post: DataFrame, number: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The postings of shingles that several groups post, and candidates (a, b, deg): in each of those shingles one text
     with those of other groups."""
     # first one order of the texts, so that texts alike choose alike; then another in each shingle
     draw = F.xxhash64("id", F.lit(number)) if number == 0 else F.xxhash64("id", "tok", F.lit(number))
-    x = F.min_by(F.struct(F.col("id").alias("a"), F.col("label").alias("al")), draw).alias("x")
+    x = F.min_by(F.struct(F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("n2"), F.col("place").alias("place2")), draw).alias("x")
     centre = post.groupBy("tok").agg(x, F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-    centre = centre.filter("low <> high").select("tok", "x.a", "x.al", "c")
+    centre = centre.filter("low <> high").select("tok", "x.*", "c")
     mixed = stored(post.join(centre, "tok"), "postings")
-    rows = mixed.filter("label <> al")
+    rows = mixed.filter((F.col("label") != F.col("al")) & _able(percent))
     pairs = rows.groupBy(F.least("a", "id").alias("u"), F.greatest("a", "id").alias("v")).agg(F.min("a").alias("a"), F.max("c").alias("deg"))
     # a centre keeps its partners; of two that are centres of each other the smaller takes the pair
-    return mixed.select("tok", "id", "n", "place"), pairs.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b"), "deg")
+    return mixed, pairs.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b"), "deg")
+
+
+def _rest(post: DataFrame, facts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), but those done, of texts in different groups that post a shingle, if sizes, places and sketches allow
+    a link. A list of more than TILE postings is cut to tiles, and each two tiles meet in a task of their own."""
+    tiles = F.ceil(F.count("*") / TILE).cast("int").alias("tiles")
+    mixed = post.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), tiles).filter("low <> high").select("tok", "tiles")
+    tile = F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int").alias("tile")
+    listed = stored(post.join(mixed, "tok").select("*", tile).join(facts.drop("n"), "id"), "postings")
+    right = _second(listed.withColumn("low", F.explode(F.sequence(F.lit(0), "tile"))).drop("tiles"), "tok", "low").withColumnRenamed("tile2", "high")
+    left = listed.withColumn("high", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1))).drop("tiles").withColumnRenamed("tile", "low")
+    once = (F.col("low") < F.col("high")) | (F.col("id") < F.col("id2"))
+    pairs = left.join(right, ["tok", "low", "high"]).filter((F.col("label") != F.col("label2")) & once & _able(percent) & _alike(percent))
+    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    out = stored(pairs.join(done, ["a", "b"], "left_anti"), "rest")
+    discard(listed)
+    return out
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """For each row of docs: doc_id, n_shingles and component_id, the smallest doc_id of its group; also text_key (the
     text's MD5) and chosen: whether the row's text and id are those that stay if one document of each group does."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("k"), F.col(text_col).cast("binary").alias("text"))
-    size = B.text_bytes(docs, text_col)
-    n_blocks = B.block_count(size, block_bytes or B.BLOCK_BYTES)
-    bits = min(56, max(32, math.ceil(math.log2(size / 6 + 1)) + 10))
+    n_blocks = B.block_count(B.text_bytes(docs, text_col), block_bytes or B.BLOCK_BYTES)
     blocks = B.packed(rows.select("k", "text").filter("k is not null"), F.xxhash64("k"), n_blocks, one_each="k")
-    asked = blocks.groupBy("block").applyInArrow(_asked(n_blocks, bits, width), "shard int, block int, blob binary")
-    answers = asked.groupBy("shard").applyInArrow(_answered, "block int, shard int, answer binary")
-    found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(bits, width, percent), _SURVIVOR), "shingle-sets")
-    texts = found.filter("toks is not null").select("id", "n", "toks")
+    asked = blocks.groupBy("block").applyInArrow(_asked(n_blocks, width), "shard int, block int, blob binary")
+    answers = asked.groupBy("shard").applyInArrow(_answered(n_blocks), "block int, shard int, answer binary")
+    found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(width, percent), _SURVIVOR), "shingle-sets")
+    able = found.filter("toks is not null")
+    texts = able.select("id", "n", "toks")
+    facts = able.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
 
     # places count from 0 in the whole order: those that only this text has come first
-    post = found.filter("toks is not null").select("id", "n", "own", F.posexplode("prefix").alias("i", "tok")).select("tok", "id", "n", (F.col("i") + F.col("own")).alias("place"))
-    groups, tried = None, []
+    post = able.select("id", "n", "own", F.posexplode("prefix").alias("i", "tok")).select("tok", "id", "n", (F.col("i") + F.col("own")).alias("place"))
+    groups, tried, held = None, [], None
     for number in range(ROUNDS):
-        post, star = _star(_labelled(post, groups), number)
-        links, pairs = _links(star, texts, percent, "star")
+        mixed, star = _star(_labelled(post, groups), number, percent)
+        discard(held)
+        post, held = mixed.select("tok", "id", "n", "place"), mixed
+        links, pairs = _links(_plausible(star, facts, percent), texts, percent, "star")
         groups = _joined(groups, links)
+        discard(links)
         tried.append(pairs)
-    post = _labelled(post, groups)
-    mixed = post.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("tok")
-    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
-    left = stored(post.join(mixed, "tok", "left_semi").join(found.filter("toks is not null").select("id", *words), "id"), "postings")
-    right = left.select("tok", *[F.col(c).alias(f"{c}2") for c in left.columns if c != "tok"])
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}2"))) for i in range(SKETCH)])
-    want = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100.0 + percent) - 1e-9)
-    able = (F.least("n", "n2") >= want) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= want)
-    able &= differ <= F.col("n") + F.col("n2") - 2 * want
-    pairs = left.join(right, "tok").filter((F.col("label") < F.col("label2")) & able)
-    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    pairs = stored(pairs.join(reduce(DataFrame.unionByName, tried).distinct(), ["a", "b"], "left_anti"), "rest")
-    degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
-    groups = _joined(groups, _links(pairs.join(degree, "a"), texts, percent, "rest")[0])
+    done = reduce(DataFrame.unionByName, [p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for p in tried]).distinct()
+    rest = _rest(_labelled(post, groups), facts, done, percent)
+    discard(held, *tried)
+    degree = rest.groupBy("a").agg(F.count("*").alias("deg"))
+    links, pairs = _links(rest.join(degree, "a"), texts, percent, "rest")
+    groups = _joined(groups, links)
+    discard(rest, pairs, links)
 
     whole = groups if groups is not None else found.select("id", F.col("id").alias("label"))
     least = rows.groupBy("k").agg(F.min("doc_id").alias("least"))
@@ -298,15 +358,18 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     # the smallest id, nulls last; of the texts that have it the first by key
     top = of.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("none"), "least", "k")).alias("top"))
     known = stored(of.join(top, "label").select("k", "n", F.col("top.least").alias("component_id"), (F.col("k") == F.col("top.k")).alias("best")), "classes")
+    discard(found, groups)
     n = F.coalesce("n", F.lit(0)).cast("long")
     chosen = (n == 0) | F.col("best") & F.col("doc_id").eqNullSafe(F.col("component_id"))
     component = F.when(n == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "k").join(known, "k", "left").select("doc_id", n.alias("n_shingles"), component.alias("component_id"), F.col("k").alias("text_key"), chosen.alias("chosen"))
+    return built_on(known, rows.select("doc_id", "k").join(known, "k", "left").select("doc_id", n.alias("n_shingles"), component.alias("component_id"), F.col("k").alias("text_key"), chosen.alias("chosen")))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group: the smallest doc_id (of repeated rows one). Rows without words all stay."""
-    groups = stored(jaccard_groups(docs, percent, width, id_col, text_col).select(F.col("doc_id").alias("__nj_id"), F.col("text_key").alias("__nj_k"), "n_shingles", "chosen"), "groups-of-rows")
+    found = jaccard_groups(docs, percent, width, id_col, text_col)
+    groups = stored(found.select(F.col("doc_id").alias("__nj_id"), F.col("text_key").alias("__nj_k"), "n_shingles", "chosen"), "groups-of-rows")
+    discard(found)
     key = F.unhex(F.md5(F.col(text_col).cast("binary")))
     same = F.col(id_col).eqNullSafe(F.col("__nj_id")) & (F.col("__nj_key") == F.col("__nj_k"))
     left = docs.withColumn("__nj_key", key).join(groups.filter("NOT chosen").select("__nj_id", "__nj_k").distinct(), same, "left_anti")

@@ -41,40 +41,48 @@ def block_count(size: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, math.ceil(size / block_bytes))
 
 
-def packed(df: DataFrame, by: Column, n_blocks: int, one_each: str | None = None) -> DataFrame:
+def packed(df: DataFrame, by: Column, n_blocks: int, one_each: str | None = None, copies: str | None = None) -> DataFrame:
     """df as rows (block, blob): a blob holds the rows of one task that belong to a block, as compressed Arrow.
 
-    one_each: a binary column; of rows that are equal in it each task sends one. So many copies never meet in a block."""
+    one_each: a binary column; of rows that are equal in it each task sends one. So many copies never meet in a block.
+    copies: the name of a column that says for how many rows that one stands; without it they are dropped."""
     names = df.columns
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
+
+        def dealt() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            if copies:
+                t = t.append_column(copies, pa.array(list(seen.values()), pa.int64()))
+                seen.clear()
+            return _dealt(t, [*names, copies] if copies else names)
+
         for batch in batches:
             if one_each:
                 new = []
                 for i, k in enumerate(batch.column(names.index(one_each)).to_pylist()):
                     if k not in seen:
-                        seen.add(k)
                         new.append(i)
+                    seen[k] = seen.get(k, 0) + 1
                 batch = batch.take(pa.array(new, pa.int64()))
             held.append(batch)
             size += batch.nbytes
             if size >= FLUSH_BYTES:
-                yield _dealt(held, names)
+                yield dealt()
                 held, size = [], 0
         if held:
-            yield _dealt(held, names)
+            yield dealt()
         held = []
         trim()
 
     return df.select(*names, F.pmod(by, F.lit(n_blocks)).cast("int").alias("__block")).mapInArrow(run, schema)
 
 
-def _dealt(held: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
-    t = pa.Table.from_batches(held)
+def _dealt(t: pa.Table, names: list[str]) -> pa.RecordBatch:
     block = t.column("__block").to_numpy()
     t = t.select(names)
     order = np.argsort(block, kind="stable")

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,20 +102,21 @@ def crc_mod(c: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z lower-cased. bytes.lower() and bytes.split() know ASCII only."""
-    return text.lower().split()
-
-
-class Vocabulary(dict):
-    """Numbers words in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+def words_in(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words [^\\x20\\x09-\\x0D]+ of UTF-8 texts, A-Z lower-cased: numbers of the words of all texts in turn, where each
+    text's words begin (and, last, end), and the distinct words by number. Nulls have no words."""
+    whole = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    whole = whole.fill_null(b"")
+    kind = pa.large_string() if pa.types.is_large_binary(whole.type) else pa.string()
+    plain = pa.Array.from_buffers(kind, len(whole), whole.buffers(), offset=whole.offset)  # bytes are not checked
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(plain))  # with an empty one at either end of white space
+    found = pieces.flatten()
+    full = pc.greater(pc.binary_length(found), 0)
+    starts = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+    words = found.filter(full).dictionary_encode()
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts, words.dictionary.cast(pa.large_binary() if kind == pa.large_string() else pa.binary()).to_pylist()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

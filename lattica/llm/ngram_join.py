@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import Vocabulary, built_on, discard, mix64, stored, words_of
+from .common import built_on, discard, mix64, stored, words_in
 from .components import components
 
 WIDTH = 5
@@ -112,11 +112,9 @@ class _Block:
         for i, k in enumerate(keys):
             at.setdefault(k, i)
         self.keys = sorted(at)
-        vocabulary = Vocabulary()
-        texts = rows.column("text")
-        ids = [vocabulary.ids(words_of(texts[at[k]].as_py())) for k in self.keys]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
-        self.sets = [shingles(i, hashes, width) for i in ids]
+        ids, starts, words = words_in(rows.column("text").take(pa.array([at[k] for k in self.keys], pa.int64())))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.sets = [shingles(ids[a:b], hashes, width) for a, b in zip(starts, starts[1:], strict=False)]
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct shingles, where each of all sets stands in them, how many texts have each."""
@@ -296,7 +294,7 @@ def _star(post: DataFrame, number: int, percent: int) -> tuple[DataFrame, DataFr
     x = F.min_by(F.struct(F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("n2"), F.col("place").alias("place2")), draw).alias("x")
     centre = post.groupBy("tok").agg(x, F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
     centre = centre.filter("low <> high").select("tok", "x.*", "c")
-    mixed = stored(post.join(centre, "tok"), "postings")
+    mixed = stored(post.hint("merge").join(centre, "tok"), "postings")  # a sort-merge join's hot partitions are split
     rows = mixed.filter((F.col("label") != F.col("al")) & _able(percent))
     pairs = rows.groupBy(F.least("a", "id").alias("u"), F.greatest("a", "id").alias("v")).agg(F.min("a").alias("a"), F.max("c").alias("deg"))
     # a centre keeps its partners; of two that are centres of each other the smaller takes the pair
@@ -309,7 +307,7 @@ def _rest(post: DataFrame, facts: DataFrame, done: DataFrame, percent: int) -> D
     tiles = F.ceil(F.count("*") / TILE).cast("int").alias("tiles")
     mixed = post.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), tiles).filter("low <> high").select("tok", "tiles")
     tile = F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int").alias("tile")
-    listed = stored(post.join(mixed, "tok").select("*", tile).join(facts.drop("n"), "id"), "postings")
+    listed = stored(post.hint("merge").join(mixed, "tok").select("*", tile).join(facts.drop("n"), "id"), "postings")
     right = _second(listed.withColumn("low", F.explode(F.sequence(F.lit(0), "tile"))).drop("tiles"), "tok", "low").withColumnRenamed("tile2", "high")
     left = listed.withColumn("high", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1))).drop("tiles").withColumnRenamed("tile", "low")
     once = (F.col("low") < F.col("high")) | (F.col("id") < F.col("id2"))

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,45 +28,110 @@ def test_shards_are_ranges():
     assert (np.diff(s.astype(int)) >= 0).all() and set(s.tolist()) == set(range(7))
 
 
-def lm_brute(rows):
-    tokens = [((t or "").encode().lower().split(), train) for _, t, train in rows]
-    uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for w, train in tokens:
-        if train:
-            seq = [b" s", *w, b" e"]
-            uni.update(seq[1:])
-            bi.update(zip(seq, seq[1:]))
-            ctx.update(seq[:-1])
-    n, v, follow = sum(uni.values()), len(uni), collections.Counter(h for h, _ in bi)
-    p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    out = []
-    for w, _ in tokens:
-        seq = [b" s", *w, b" e"]
-        score = sum(math.log10((bi[h, x] + follow[h] * p(x)) / (ctx[h] + follow[h]) if follow[h] else p(x)) for h, x in zip(seq, seq[1:]))
-        out.append((len(w) + 1, sum(uni[x] > 0 for x in seq[1:]), n, sum(math.log10(p(x)) for x in seq[1:]), score))
-    return out, (uni, bi, ctx, follow, p)
+class BruteModel:
+    """The model by its definition, n-grams as tuples."""
 
+    def __init__(self, rows, order, prior):
+        self.order, self.prior, self.c = order, prior, collections.Counter()
+        self.n, words = 0, set()
+        for _, t, train in rows:
+            if train:
+                seq = [b" s", *(t or "").encode().lower().split(), b" e"]
+                self.n += len(seq) - 1
+                words.update(seq[1:])
+                for k in range(1, order + 1):
+                    self.c.update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
+        self.v, self.words = len(words), words
 
-ROWS = [(1, "The cat sat on the mat", True), (2, "the cat ate", False), (3, None, True), (4, "", False), (5, "THE the É é\tcat\n", True), (6, "word " * 3000, False), (7, "the cat sat on the mat", True), (7, "the cat sat on the mat", True), (None, "unseen here", False)]
+    def p(self, w, h):
+        if not h:
+            return ((self.c[w,] if w != b" s" else 0) + 0.5) / (self.n + 0.5 * (self.v + 1))
+        return (self.c[*h, w] + self.prior * self.p(w, h[1:])) / (self.c[h] + self.prior) if self.c[h] else self.p(w, h[1:])
 
+    def score(self, text):
+        seq = [b" s", *(text or "").encode().lower().split(), b" e"]
+        return sum(math.log10(self.p(seq[i], tuple(seq[max(0, i - self.order + 1) : i]))) for i in range(1, len(seq)))
+
+    def row(self, text):
+        seq = [*(text or "").encode().lower().split(), b" e"]
+        return len(seq), sum(w in self.words for w in seq), self.n, sum(math.log10(self.p(w, ())) for w in seq), self.score(text)
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 12])
-def test_language_model(spark, block_bytes):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string, score boolean")
-    got = sorted(backoff_lm.lm_scores(df, F.col("score"), block_bytes=block_bytes).collect(), key=str)
-    expected, _ = lm_brute(ROWS)
-    want = sorted(((r[0], not r[2], *e) for r, e in zip(ROWS, expected)), key=lambda x: str((x[0], x[2], x[6])))
-    mine = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=lambda x: str((x[0], x[2], x[6])))
-    for a, b in zip(mine, want):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
-    assert len(mine) == len(want)
 
+ROWS = [(1, "The cat sat on the mat", True), (2, "the cat ate", False), (3, None, True), (4, "", False), (5, "THE the É é\tcat\n", True), (6, "word " * 3000, False), (7, "the cat sat on the mat", True), (7, "the cat sat on the mat", True), (None, "unseen here", False), (8, "on the mat the cat sat on the cat sat on", False), (None, None, None)]
 
-def test_the_model_is_a_distribution():
-    _, (uni, bi, ctx, follow, p) = lm_brute(ROWS)
-    for h in ctx:
-        total = sum((bi[h, w] + follow[h] * p(w)) / (ctx[h] + follow[h]) for w in uni) + follow[h] * p(b"never") / (ctx[h] + follow[h])
-        assert total == pytest.approx(1)
+
+@pytest.mark.parametrize("order, prior, block_bytes", [(1, 1.0, 1 << 20), (2, 0.5, 12), (3, 4.0, 1 << 20), (3, 4.0, 12), (5, 2.0, 40)])
+def test_language_model(spark, order, prior, block_bytes):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, score boolean")
+    model = BruteModel(ROWS, order, prior)
+    got = backoff_lm.lm_scores(df, F.col("score"), order=order, prior=prior, block_bytes=block_bytes)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda x: str((x[0], x[2], round(x[6], 6)))
+    want = sorted(((r[0], not r[2], *model.row(r[1])) for r in ROWS), key=key)
+    mine = sorted(map(tuple, got.collect()), key=key)
+    assert len(mine) == len(want)
+    for a, b in zip(mine, want):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-11)
+
+
+def test_equal_rows_count_as_often_as_they_stand(spark):
+    rows = [(1, "a b c", True)] * 700 + [(2, "a b d", True), (3, "a b", False)]
+    model = BruteModel(rows, 3, 4.0)
+    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), F.col("t")).collect()
+    assert len(got) == 702 and {r["doc_id"]: r["score"] for r in got} == pytest.approx({i: model.score(t) for i, t, _ in rows}, rel=1e-11)
+
+
+def automaton_of(rows, order, prior):
+    train = np.array([bool(r[2]) for r in rows])
+    g = backoff_lm.Grams(pa.array([(r[1] or "").encode() for r in rows], pa.binary()), order)
+    model = BruteModel(rows, order, prior)
+    return g, backoff_lm.Automaton(g, g.counted(train.astype(np.int64)), model.n, model.v, prior), model
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_states_arcs_and_failures(order):
+    rnd = random.Random(order)
+    rows = [(i, " ".join(rnd.choices("abcde", k=rnd.randint(0, 12))), i % 3 > 0) for i in range(40)]
+    g, a, model = automaton_of(rows, order, 1.5)
+    names = [*(words_of(pa.array([(r[1] or "").encode() for r in rows], pa.binary()))), b" s", b" e"]
+    contexts = {()} | {h for h in model.c if len(h) < order and h[-1] != b" e"}
+    assert len(a.fail) == len(contexts)  # a state for each context
+    # every state's outgoing weights are a distribution: its arcs, and what the failure arc leaves for the rest
+    for s in range(1, len(a.fail)):
+        arcs = slice(*np.searchsorted(a.arc, [s * a.n_words, (s + 1) * a.n_words]))
+        seen, word = a.weight[arcs], a.arc[arcs] % a.n_words
+        below = sum(10.0 ** a.step(np.array([a.fail[s]]), np.array([w]))[0][0] for w in word)
+        assert (10.0**seen).sum() + 10.0 ** a.failure[s] * (1 - below) == pytest.approx(1)
+        assert a.fail[s] < s
+    # reading any words leads to the longest context that the model has
+    for _ in range(60):
+        seq = rnd.choices([i for i, w in enumerate(names[:-2])], k=8)
+        state, history = np.array([a.start]), [b" s"]
+        for w in seq:
+            weight, state = a.step(state, np.array([w]))
+            h = tuple(history[-(order - 1) :]) if order > 1 else ()
+            assert weight[0] == pytest.approx(math.log10(model.p(names[w], h)))
+            history.append(names[w])
+            longest = next(k for k in range(min(order - 1, len(history)), -1, -1) if k == 0 or tuple(history[-k:]) in contexts)
+            depth, s = 0, int(state[0])
+            while s:
+                depth, s = depth + 1, int(a.fail[s])
+            assert depth == longest
+
+
+def words_of(texts):
+    from lattica.llm.common import words_in
+
+    return words_in(texts)[2]
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 100])
+def test_pieces_of_long_texts_carry_the_state(piece):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choices("abcdefg", k=rnd.randint(0, 60))), i % 2 > 0) for i in range(30)]
+    for order in (1, 2, 4):
+        g, a, model = automaton_of(rows, order, 3.0)
+        assert a.read(g, order, piece) == pytest.approx([model.score(t) for _, t, _ in rows], rel=1e-11)
 
 
 def test_language_model_without_training(spark):
@@ -73,6 +139,8 @@ def test_language_model_without_training(spark):
     got = {r["doc_id"]: r for r in backoff_lm.lm_scores(df, F.lit(False)).collect()}
     assert got[1]["train_tokens"] == 0 and got[1]["score"] == got[1]["base_score"] == 0.0 and got[2]["n_tokens"] == 1
     assert backoff_lm.lm_scores(df.limit(0), F.lit(True)).count() == 0
+    with pytest.raises(ValueError):
+        backoff_lm.lm_scores(df, F.lit(True), order=0)
 
 
 def shingle_set(text, width=5):

@@ -3,15 +3,20 @@
 A page is parsed into a tree that closes open paragraphs and list items as browsers do. Subtrees that never are content
 (menus, headers and footers of the page, forms, scripts, notices, adverts, comments) are left out, but not those that
 wrap the page: what holds the longest <article> or <main>, or most of the page's text outside of links, stays, and if
-hardly any text would be left, so do the others. Each paragraph has
-points: one, one more for each comma, and up to three for its length; its parent gets them whole, its grandparent half
-and ancestors further up a share that falls with the distance. A container's points are discounted by its link density.
-The best container is kept, with siblings whose points come near or that are prose; if it lies in an <article> or
-<main>, that element is kept whole.
+hardly any text would be left, so do the others. A <header> inside an article or section is its heading. Where a name only
+hints (teaser, related, disclaimer-text), the link density decides.
+
+Each paragraph has points: one, one more for each comma, and up to three for its length; its parent gets them whole, its
+grandparent half and ancestors further up a share that falls with the distance. A container's points are discounted by its
+link density. The best container is kept, and of what stands beside it, loose text and lists and headings included, all
+but what is mostly links; so on for its ancestors, as long as these lie in an <article> or <main> or are one. Further up,
+siblings stay whose points come near the best ones or that have hardly any links and are prose, a heading, or an element
+like the one kept. No element is kept for its name alone, and of what is kept nothing but skipped subtrees is left out.
 
 Cases: null or empty html, and pages without any text, give an empty text; markup that is broken or nested without end
-is parsed all the same (no recursion); repeated rows are extracted one by one; empty tables give empty results; other
-columns pass through.
+is parsed all the same (no recursion); long pages are extracted whole; of containers with equal points the first on the page
+is the best; repeated rows are extracted one by one; empty tables give empty results; other columns pass through, but
+columns named text or n_chars, which are replaced.
 """
 
 from __future__ import annotations
@@ -45,13 +50,20 @@ CLOSES = {
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
 }
 #: Never content, whatever they hold.
-HIDDEN = frozenset("canvas embed iframe input math script select style svg template textarea title".split())
+HIDDEN = frozenset("annotation annotation-xml canvas embed iframe input script select style svg template textarea title".split())
 #: No content unless they wrap it, as elements with a class or id of BOILERPLATE.
-DROPPED = frozenset("aside button dialog footer form head header menu nav noscript object search".split())
+DROPPED = frozenset("aside button dialog footer form head header menu nav noscript search".split())
+#: Of those, what never wraps a page.
+ENDS = frozenset("button dialog footer menu nav noscript search".split())
+#: A header of these is part of the text.
+SECTIONS = frozenset("article main section".split())
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|shoutbox|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|pager|popup|promo\w*|replies|respond|share|sharing|shoutbox|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+NOTICE = re.compile(r"(?:^|\s)disclaimer(?:$|\s)", re.IGNORECASE)
+#: No content if there are many links in them.
+HINT = re.compile(r"(?:^|[\s_-])(?:disclaimer|recommend\w*|related|teaser)(?:$|[\s_-])", re.IGNORECASE)
 #: Other people's words: they may outweigh the page's own text, so their share does not make them content.
 APART = re.compile(r"(?:^|(?<=[\s_-]))(?<!has.)(?<!no.)(?<!with.)(?<!without.)(?:comments?|commentlist|disqus|replies|respond)(?![a-z]|[_-](?:open|closed))", re.IGNORECASE)
 #: Less than one part in so many of the page's text is hardly any.
@@ -59,15 +71,20 @@ LITTLE = 20
 GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.IGNORECASE)
 ROLES = frozenset("banner navigation complementary contentinfo search dialog alertdialog menu menubar form".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Link densities: of what is mostly links, and the most of what hardly has any.
+LINKS, FEW_LINKS = 2 / 3, 1 / 4
+PROSE_CHARS = 80
 START = {"div": 5, "article": 10, "main": 10, "section": 2, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "li": -3}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "skip", "hidden", "apart", "links", "chars", "points", "bonus")
+    __slots__ = ("tag", "parent", "parts", "skip", "hidden", "apart", "hint", "links", "chars", "points", "bonus")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool, hidden: bool, apart: bool, bonus: int):
         self.tag, self.parent, self.skip, self.hidden, self.apart, self.bonus = tag, parent, skip, hidden, apart, bonus
         self.parts: list = []
+        self.hint = False
         self.links = self.chars = 0
         self.points: float | None = None
 
@@ -79,21 +96,25 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None, False, False, False, 0)
         self.open: dict[str, int] = {}
-        self.skipped = False
+        self.skipped = self.hinted = False
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P and self.open.get("p"):
             self._close(("p",), ("table", "article", "section", "main", "td"))
         elif tag in CLOSES:
             self._close(*CLOSES[tag])
-        hidden, skip, apart = self.at.hidden or tag in HIDDEN, tag in DROPPED, self.at.apart
+        hidden, skip, apart, hint = self.at.hidden or tag in HIDDEN, tag in DROPPED, self.at.apart, False
+        if tag == "header" and any(self.open.get(x) for x in SECTIONS):
+            skip = False
         bonus = START.get(tag, 0)
         for k, v in attrs:
             if k in ("class", "id") and v:
                 if tag not in ("body", "html", "main") and APART.search(v):
                     apart = True
-                if tag not in ("body", "html", "article", "main") and BOILERPLATE.search(v):
+                if tag not in ("body", "html", "article", "main") and (BOILERPLATE.search(v) or NOTICE.search(v)):
                     skip = True
+                elif HINT.search(v):
+                    hint = True
                 elif GOOD.search(v):
                     bonus += 25
             elif k == "hidden":
@@ -106,6 +127,8 @@ class _Tree(HTMLParser):
             return
         self.skipped = self.skipped or skip
         node = Node(tag, self.at, skip or hidden, hidden, apart, bonus)
+        node.hint = hint
+        self.hinted = self.hinted or hint
         self.at.parts.append(node)
         self.at = node
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -187,11 +210,11 @@ def _unwrap(root: Node) -> None:
                 done.add(seen)
                 seen.skip = False
                 seen = seen.parent
-    for n in nodes:
-        if n.skip and 2 * prose[n] > total and (alone or not n.apart):
-            n.skip = False
     if found:
         return
+    for n in nodes:
+        if n.skip and n.tag not in ENDS and 2 * prose[n] > total and (alone or not n.apart):
+            n.skip = False
     for apart in (False, True):
         kept = _walk(root)
         outer = [x for n in kept for x in n.parts if isinstance(x, Node) and x.skip and not x.hidden]
@@ -201,10 +224,10 @@ def _unwrap(root: Node) -> None:
                 x.skip = x.skip and x.apart and not apart
 
 
-def _text(root: Node) -> str:
+def _text(*parts: Node | str) -> str:
     """Blocks in page order, white space inside each as one space."""
     out: list[str] = []
-    todo: list = [root]
+    todo: list = list(reversed(parts))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -217,6 +240,62 @@ def _text(root: Node) -> str:
     return " ".join("".join(out).split())
 
 
+def _runs(node: Node) -> Iterator[list[Node | str]]:
+    """The children of a node: each block by itself, and runs of text and inline elements."""
+    run: list[Node | str] = []
+    for x in node.parts:
+        if isinstance(x, Node) and (x.tag in BLOCK or x.points is not None):
+            if run:
+                yield run
+            yield [x]
+            run = []
+        else:
+            run.append(x)
+    if run:
+        yield run
+
+
+def _selected(best: Node, final: dict[Node, float]) -> list[Node | str]:
+    """The best container with what belongs to it, in page order."""
+    bar = max(10.0, 0.2 * final[best])
+    top = ("#root", "html", "body")
+    if best.tag in top:  # there is no container inside of which all belongs to it
+        kept: list[Node | str] = []
+        near, node = True, None
+    else:
+        kept, near, node = [best], True, best
+
+    def belongs(run: list[Node | str]) -> bool:
+        chars = sum(len(x.strip()) if isinstance(x, str) else 0 if x.skip else x.chars for x in run)
+        links = sum(0 if isinstance(x, str) or x.skip else x.chars if x.tag == "a" else x.links for x in run)
+        if not chars:
+            return False
+        x, density = run[0], links / chars
+        if isinstance(x, Node) and final.get(x, 0.0) >= bar or near and density < LINKS:
+            return True
+        like = isinstance(x, Node) and (x.tag in HEADINGS or node is not None and x.tag == node.tag)
+        return density < FEW_LINKS and (like or chars >= PROSE_CHARS)
+
+    up = best if node is None else best.parent
+    while up is not None:
+        before: list[Node | str] = []
+        after: list[Node | str] = []
+        into = before
+        for run in _runs(up):
+            if node is not None and run[0] is node:
+                into = after
+            elif belongs(run):
+                into += [" ", *run, " "]
+        kept = [*before, " ", *kept, " ", *after]
+        # as long as an <article> or <main> lies further up, or this is one, all is near
+        inside = up.parent
+        while inside is not None and inside.tag not in ("article", "main"):
+            inside = inside.parent
+        near = inside is not None
+        node, up = up, up.parent
+    return kept
+
+
 def _points(node: Node, text: str) -> float:
     return 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) // 100, 3)
 
@@ -230,20 +309,23 @@ def main_text(html: str) -> str:
     if tree.skipped:
         _unwrap(tree.root)
     nodes = _walk(tree.root)
-    own: dict[Node, str] = {}
     _measure(nodes)
+    if tree.hinted:
+        for node in nodes:
+            node.skip = node.skip or node.hint and node.links > FEW_LINKS * node.chars
+        nodes = _walk(tree.root)
+        _measure(nodes)
     scored: list[Node] = []
     for node in nodes:
         inline = [x for x in node.parts if isinstance(x, Node) and not x.skip and x.tag in BLOCK]
         if node.tag in PARAGRAPHS and node.chars:
             text = _text(node) if not inline else ""
         elif not inline or any(isinstance(x, str) and len(x.strip()) > 1 for x in node.parts):
-            text = " ".join(x.strip() if isinstance(x, str) else _text(x) for x in node.parts if isinstance(x, str) or not x.skip and x.tag not in BLOCK).strip() if node.tag in BLOCK and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") else ""
+            text = " ".join(x.strip() if isinstance(x, str) else _text(x) for x in node.parts if isinstance(x, str) or not x.skip and x.tag not in BLOCK).strip() if node.tag in BLOCK and node.tag not in HEADINGS else ""
         else:
             text = ""
         if not text:
             continue
-        own[node] = text
         p, share = _points(node, text), 1.0
         up, depth = (node.parent if node.tag in PARAGRAPHS or node.parent is not None and not inline else node), 0
         while up is not None and depth < 6:
@@ -258,25 +340,8 @@ def main_text(html: str) -> str:
         return _text(tree.root)
     order = {n: i for i, n in enumerate(nodes)}
     final = {n: n.points * (1 - n.links / max(1, n.chars)) for n in scored}
-    best = max(scored, key=lambda n: (final[n], -order.get(n, 0)))
-    up = best
-    while up is not None:  # an article is kept whole
-        if up.tag in ("article", "main"):
-            return _text(up)
-        up = up.parent
-    if best.parent is None or best.tag in ("body", "html"):
-        return _text(best)
-    bar, kept = max(10.0, 0.2 * final[best]), []
-    for x in best.parent.parts:
-        if x is best:
-            kept.append(_text(x))
-        elif isinstance(x, Node) and not x.skip:
-            density = x.links / max(1, x.chars)
-            prose = x.tag in ("p", "pre", "blockquote") and (x.chars > 80 and density < 0.25 or 0 < x.chars <= 80 and density == 0)
-            title = x.tag in ("h1", "h2", "h3") and density == 0
-            if prose or title or final.get(x, 0.0) >= bar:
-                kept.append(_text(x))
-    return " ".join(t for t in kept if t)
+    best = max(scored, key=lambda n: (final[n], -order[n]))
+    return _text(*_selected(best, final))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

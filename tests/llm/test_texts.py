@@ -41,6 +41,86 @@ def test_wrappers_are_no_boilerplate(wrapper):
     assert hx.main_text(f"<body><{wrapper}><p>{PARA}</p>{end}<{wrapper}><p>{PARA}</p>{end}</body>") == f"{PARA} {PARA}"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<section>A short</section><section>B is {PARA}</section><section>C short</section>", f"A short B is {PARA} C short"),
+        (f"<article><p>{PARA}</p></article><article><h2>Next</h2><p>{PARA} 2</p></article>", f"{PARA} Next {PARA} 2"),
+        ("<div><p>Hello.</p></div><div><p>World.</p></div>", "Hello. World."),
+        (f"Loose text.<div class=content><p>{PARA}</p></div><ul><li>one<li>two</ul><h4>Head</h4><dl><dt>t<dd>d</dl>tail <b>text</b>", f"Loose text. {PARA} one two Head t d tail text"),
+        (f"<article><p>{PARA}</p><div class='disclaimer-text'><p>{PARA}</p></div><div class='related-work'><p>{PARA}</p></div><p>x <math><mi>y</mi></math> <object>z</object></p></article>", f"{PARA} {PARA} {PARA} x y z"),
+        (f"<article><header><h1>Title</h1></header><div><section><p>{PARA}</p></section><section><p>{PARA}</p></section></div><p>End.</p><div class=related><a href=x>one</a> <a href=y>two</a></div></article>", f"Title {PARA} {PARA} End."),
+        (f"<div><ul><li><a href=x>Home page</a><li><a href=x>Other page</a></ul></div><div><div><p>{PARA}</p><p>{PARA}</p></div><p>End.</p></div>", f"{PARA} {PARA} End."),
+        ("<article><h1>Few words.</h1></article><footer>me, you, all others, and everybody else, who reads this, at any time</footer>", "Few words."),
+        (f"<article><p>{PARA}</p></article><p class=disclaimer>{PARA}</p>", PARA),
+    ],
+)
+def test_nothing_of_the_text_is_lost(html, text):
+    assert hx.main_text(html) == hx.main_text(f"<html><body>{html}</body></html>") == text
+
+
+def page(rnd):
+    """A page made of known parts: its html, and what of it is main text."""
+    said = []
+
+    def say(n):
+        words = " ".join("".join(rnd.choices("aeioulmnrst", k=rnd.randint(2, 9))) + rnd.choice(["", "", "", ","]) for _ in range(n))
+        said.append(words)
+        return words
+
+    def block(depth=0):
+        kind = rnd.choice(["p", "p", "p", "h2", "h4", "ul", "dl", "quote", "text", "table", "div"] if depth < 2 else ["p", "h4", "ul"])
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{say(rnd.randint(2, 12))}" for _ in range(rnd.randint(1, 4))) + "</ul>"
+        if kind == "dl":
+            return f"<dl><dt>{say(2)}<dd>{say(9)}</dl>"
+        if kind == "quote":
+            return f"<blockquote><p>{say(rnd.randint(5, 40))}</p></blockquote>"
+        if kind == "table":
+            return f"<table><tr><td>{say(3)}</td><td>{say(4)}</td></tr></table>"
+        if kind == "div":
+            return f"<div class='{rnd.choice(['row', 'x1', 'related-work', 'disclaimer-text'])}'>{''.join(block(depth + 1) for _ in range(rnd.randint(1, 3)))}</div>"
+        if kind == "text":
+            return f" {say(rnd.randint(3, 20))}<br>"
+        return f"<{kind}>{say(rnd.randint(2, 8) if kind[0] == 'h' else rnd.randint(15, 60))}</{kind}>"
+
+    junk = lambda: rnd.choice([NOISE, "<!-- x --><script>var a = '<p>no</p>';</script>", "<div class='ad-slot'>Buy, now!</div>", "<form><p>Your name, please</p><input></form>", "<div class='cookie-banner'><p>We, and others, use cookies.</p></div>"])
+    body = lambda: f"<p>{say(40)}</p>" + "".join(block() for _ in range(rnd.randint(1, 6)))
+    shape = rnd.choice(["article", "main", "div", "articles", "sections", "bare"])
+    if shape == "articles":
+        inner = "".join(f"<article>{body()}</article>" for _ in range(rnd.randint(2, 3)))
+    elif shape == "sections":
+        inner = "<main>" + "".join(f"<section>{body()}{junk() if rnd.random() < 0.3 else ''}</section>" for _ in range(rnd.randint(2, 4))) + "</main>"
+    elif shape == "bare":
+        inner = f"<div>{body()}</div>"
+    else:
+        inner = f"<{shape} class=content><h1>{say(5)}</h1>{body()}</{shape}>"
+    talk = "<div id=comments><p>I, for one, like it.</p></div>" if rnd.random() < 0.5 else ""
+    return f"<html><head><title>t</title></head><body><header><a href=/>Home</a></header>{junk()}{inner}{talk}{junk()}<footer>&copy; me</footer></body></html>", " ".join(said)
+
+
+def test_generated_pages():
+    rnd = random.Random(11)
+    for _ in range(400):
+        html, text = page(rnd)
+        assert hx.main_text(html) == text, html
+
+
+def test_page_query_gives_the_articles_of_its_table(spark, sf):
+    """Brute force: on the given pages, tags taken from what lies between <article> and its end are the main text."""
+    import html as entities
+
+    from lattica.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = QUERIES["op2_main_text"](spark, sf).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        inside = re.search(r"<article>(.*)</article>", pages[r["page_id"]]["html"], re.DOTALL)[1]
+        text = " ".join(entities.unescape(re.sub(r"<[^>]+>", lambda m: "" if m[0].strip("</>").split()[0] in ("b", "i", "em", "a", "span") else " ", inside)).split())
+        assert (r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], text, len(text))
+
+
 def test_comments_are_left_out_however_long():
     talk = "".join(f"<p>{PARA}</p>" for _ in range(9))
     assert hx.main_text(f"<body><div class=post><p>{PARA}</p></div><div id=comments>{talk}</div></body>") == PARA

@@ -52,44 +52,52 @@ class Grams:
     """The n-grams of some texts, by their length: gram u of length k is gram context[u] of length k - 1 and word[u]; without
     its first word it is gram suffix[u] of length k - 1. Words are numbered as in words_in(), then the start, then the end."""
 
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, order: int):
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, order: int, weight: np.ndarray | None = None):
+        """weight: for how much each text counts; counts is how often each n-gram stands in them, by that."""
         ids, starts, words = words_in(texts)
         self.start, self.end, self.n_words = len(words), len(words) + 1, len(words) + 2
         #: Of each text: its words and the end.
         self.lengths = np.diff(starts) + 1
         #: Where each text's start stands in flat.
         self.begin = starts[:-1] + 2 * np.arange(len(self.lengths))
-        self.flat = np.full(len(ids) + 2 * len(self.lengths), -1, np.int64)
+        self.flat = np.full(len(ids) + 2 * len(self.lengths), -1, np.int32)
         self.flat[self.begin] = self.start
         self.flat[self.begin + self.lengths] = self.end
         self.flat[self.flat < 0] = ids
-        self.text = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)
-        since = np.arange(len(self.flat)) - self.begin[self.text]
+        del ids
         self.hash = [np.fromiter(map(xxhash.xxh64_intdigest, [*words, START, END]), np.uint64, self.n_words)]
+        del words
         self.context: list = [None]
-        self.word: list = [np.arange(self.n_words)]
+        self.word: list = [np.arange(self.n_words, dtype=np.int32)]
         self.suffix: list = [None]
-        #: (gram, place) of every occurrence
-        self.places = [(self.flat, np.arange(len(self.flat)))]
+        every = None if weight is None else np.repeat(weight.astype(np.float64), self.lengths + 1)
+        self.counts = [] if weight is None else [np.bincount(self.flat, weights=every, minlength=self.n_words).astype(np.int64)]
         last = self.flat
+        whole = np.ones(len(self.flat), bool)  # whether an n-gram of the length at hand ends there
         for k in range(2, order + 1):
-            at = np.flatnonzero(since >= k - 1)
-            pair, gram = np.unique(last[at - 1] * self.n_words + self.flat[at], return_inverse=True)
-            context, word = pair // self.n_words, pair % self.n_words
-            suffix = np.empty(len(pair), np.int64)
+            whole[self.begin[self.lengths >= k - 2] + k - 2] = False
+            at = np.flatnonzero(whole).astype(np.int32)
+            pair, gram = np.unique(last[at - 1] * np.int64(self.n_words) + self.flat[at], return_inverse=True)
+            gram = gram.astype(np.int32)
+            context, word = (pair // self.n_words).astype(np.int32), (pair % self.n_words).astype(np.int32)
+            del pair
+            suffix = np.empty(len(word), np.int32)
             suffix[gram] = last[at]
             self.context.append(context)
             self.word.append(word)
             self.suffix.append(suffix)
             self.hash.append(mix64(self.hash[-1][context] * np.uint64(0x9E3779B97F4A7C15) + self.hash[0][word] + np.uint64(k)))
-            self.places.append((gram, at))
-            last = np.full(len(self.flat), -1, np.int64)
+            if weight is not None:
+                self.counts.append(np.bincount(gram, weights=every[at], minlength=len(word)).astype(np.int64))
+            last = np.full(len(self.flat), -1, np.int32)
             last[at] = gram
+            del at, gram
 
-    def counted(self, weight: np.ndarray) -> list[np.ndarray]:
-        """How often each n-gram stands in the texts, which count with their weights."""
-        w = weight[self.text]
-        return [np.bincount(gram, weights=w[at], minlength=len(h)).astype(np.int64) for (gram, at), h in zip(self.places, self.hash, strict=True)]
+    def sums(self, by_word: np.ndarray) -> np.ndarray:
+        """Of each text, the sum over its words and its end."""
+        v = by_word[self.flat]
+        v[self.begin] = 0
+        return np.add.reduceat(v, self.begin) if len(self.begin) else v
 
 
 class Automaton:
@@ -98,18 +106,18 @@ class Automaton:
     def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, distinct: int, prior: float):
         order, n = len(counts), grams.n_words
         self.n_words = n
-        c = [x.astype(np.float64) for x in counts]
-        words = c[0].copy()
+        c = counts
+        words = c[0].astype(np.float64)
         words[grams.start] = 0  # no token, but a context
         self.known = words > 0
         p = [(words + 0.5) / (tokens + 0.5 * (distinct + 1))]
         state, top = [], 1
-        total, fail = [np.array([tokens], np.float64)], [np.zeros(1, np.int64)]
+        total, fail = [np.array([tokens], np.float64)], [np.zeros(1, np.int32)]
         for k in range(order - 1):  # contexts of k + 1 words
             seen = (c[k] > 0) & (grams.word[k] != grams.end)
-            number = np.where(seen, top - 1 + np.cumsum(seen), 0)
-            total.append(c[k][seen])
-            fail.append(state[k - 1][grams.suffix[k][seen]] if k else np.zeros(len(total[-1]), np.int64))
+            number = np.where(seen, top - 1 + np.cumsum(seen, dtype=np.int32), 0).astype(np.int32)
+            total.append(c[k][seen].astype(np.float64))
+            fail.append(state[k - 1][grams.suffix[k][seen]] if k else np.zeros(len(total[-1]), np.int32))
             state.append(number)
             top += len(total[-1])
         self.fail = np.concatenate(fail)
@@ -117,28 +125,28 @@ class Automaton:
             self.failure = np.log10(prior / (np.concatenate(total) + prior))
         self.start = int(state[0][grams.start]) if state else 0
         self.root_weight = np.log10(p[0])
-        self.root_next = state[0] if state else np.zeros(n, np.int64)
+        self.root_next = state[0] if state else np.zeros(n, np.int32)
         key, weight, to = [], [], []
         for k in range(1, order):
             context = grams.context[k]
             p.append((c[k] + prior * p[k - 1][grams.suffix[k]]) / (c[k - 1][context] + prior))
             seen = c[k] > 0
-            key.append(state[k - 1][context[seen]] * n + grams.word[k][seen])
+            key.append(state[k - 1][context[seen]] * np.int64(n) + grams.word[k][seen])
             weight.append(np.log10(p[k][seen]))
             to.append((state[k] if k < order - 1 else state[k - 1][grams.suffix[k]])[seen])
         # and one at the end that nobody asks for
         self.arc = np.concatenate([*key, [np.iinfo(np.int64).max]])
         self.weight = np.concatenate([*weight, [0.0]])
-        self.next = np.concatenate([*to, [0]])
+        self.next = np.concatenate([*to, np.zeros(1, np.int32)])
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each state reads its word: the weights of the arcs taken, and the next states."""
-        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int32)
         root = state == 0
         todo = np.flatnonzero(~root)
         now = state[todo]
         while len(todo):
-            key = now * self.n_words + word[todo]
+            key = now * np.int64(self.n_words) + word[todo]
             at = np.searchsorted(self.arc, key)
             hit = self.arc[at] == key
             arc, done = at[hit], todo[hit]
@@ -177,12 +185,12 @@ def key_bits(tokens: int, order: int) -> int:
     return min(64, KEY_BITS + math.ceil(math.log2(tokens * order + 1)) + 1)
 
 
-def _keys(g: Grams, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _keys(hashes: list[np.ndarray], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted keys of the words, and those of the longer n-grams, with their order."""
     out = []
-    for h in (g.hash[0], np.concatenate([np.zeros(0, np.uint64), *g.hash[1:]])):
+    for h in (hashes[0], np.concatenate([np.zeros(0, np.uint64), *hashes[1:]])):
         k = h >> np.uint64(64 - bits)
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k, kind="stable").astype(np.int32)
         out.append((k[order], order))
     return out
 
@@ -190,10 +198,10 @@ def _keys(g: Grams, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def _asked(shards: int, order: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         rows = B.unpacked(t)
-        g = Grams(rows.column("text"), order)
-        counts = g.counted(rows.column("n").to_numpy() * rows.column("train").to_numpy())
-        counts = [counts[0], np.concatenate([np.zeros(0, np.int64), *counts[1:]])]
-        keys = _keys(g, bits)
+        g = Grams(rows.column("text"), order, rows.column("n").to_numpy() * rows.column("train").to_numpy())
+        del rows
+        counts = [g.counts[0], np.concatenate([np.zeros(0, np.int64), *g.counts[1:]])]
+        keys = _keys(g.hash, bits)
         del g
         parts = []
         for (k, by), n in zip(keys, counts, strict=True):
@@ -251,17 +259,19 @@ def _scored(tokens: int, distinct: int, order: int, bits: int, prior: float, id_
             return pa.table({"doc_id": pa.array([], id_type), **{k: pa.array([], kind) for k, kind in _SCORES.items()}})
         rows = B.unpacked(docs)
         g = Grams(rows.column("text"), order)
+        rows = rows.drop_columns(["text"])
         parts = [B.read_ints(x.as_buffer().to_pybytes()) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("answer"), strict=True), key=lambda x: x[0])]
         counts = []
-        for i, (k, by) in enumerate(_keys(g, bits)):
-            c = np.empty(len(k), np.int64)
+        for i, (k, by) in enumerate(_keys(g.hash, bits)):
+            c = np.empty(len(k), np.float64)
             c[by] = np.concatenate([p[i] for p in parts])
             counts.append(c)
+            del k, by, c
         del parts
         counts = [counts[0], *np.split(counts[1], np.cumsum([len(h) for h in g.hash[1:]])[:-1])] if order > 1 else counts[:1]
+        g.hash.clear()
         automaton = Automaton(g, counts, tokens, distinct, prior)
-        inside = g.flat != g.start
-        text, word = g.text[inside], g.flat[inside]
+        del counts
         n = len(g.lengths)
         score = automaton.read(g, order)
         out = {
@@ -269,12 +279,12 @@ def _scored(tokens: int, distinct: int, order: int, bits: int, prior: float, id_
             "n": rows.column("n"),
             "held_out": pa.array(~rows.column("train").to_numpy()),
             "n_tokens": pa.array(g.lengths, pa.int64()),
-            "n_known": pa.array(np.bincount(text, weights=automaton.known[word], minlength=n).astype(np.int64)),
+            "n_known": pa.array(g.sums(automaton.known.astype(np.int64))),
             "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
-            "base_score": pa.array(np.bincount(text, weights=automaton.root_weight[word], minlength=n)),
+            "base_score": pa.array(g.sums(automaton.root_weight)),
             "score": pa.array(score),
         }
-        del g, automaton, counts, inside, text, word
+        del g, automaton
         B.trim()
         return pa.table(out)
 

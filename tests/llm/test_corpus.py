@@ -77,15 +77,15 @@ def test_language_model(spark, order, prior, block_bytes):
 def test_equal_rows_count_as_often_as_they_stand(spark):
     rows = [(1, "a b c", True)] * 700 + [(2, "a b d", True), (3, "a b", False)]
     model = BruteModel(rows, 3, 4.0)
-    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), F.col("t")).collect()
+    got = backoff_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), F.col("t"), prior=4.0).collect()
     assert len(got) == 702 and {r["doc_id"]: r["score"] for r in got} == pytest.approx({i: model.score(t) for i, t, _ in rows}, rel=1e-11)
 
 
 def automaton_of(rows, order, prior):
     train = np.array([bool(r[2]) for r in rows])
-    g = backoff_lm.Grams(pa.array([(r[1] or "").encode() for r in rows], pa.binary()), order)
+    g = backoff_lm.Grams(pa.array([(r[1] or "").encode() for r in rows], pa.binary()), order, train.astype(np.int64))
     model = BruteModel(rows, order, prior)
-    return g, backoff_lm.Automaton(g, g.counted(train.astype(np.int64)), model.n, model.v, prior), model
+    return g, backoff_lm.Automaton(g, [c.astype(float) for c in g.counts], model.n, model.v, prior), model
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])

@@ -255,6 +255,37 @@ def test_neighbours(spark):
     assert permutation_index.nearest_neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_extreme_components_and_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 5))
+    rows = [(i, (v * 10.0 ** (200 if i % 3 else -200)).tolist()) for i, v in enumerate(base)] + [(50, [5e-324, 0.0, 0.0, 0.0, 0.0]), (52, [1.7e308] * 5)]
+    rows += [(100 + 2 * n + j, [1.0 + j] + [0.0] * (6 + n)) for n in range(20) for j in (0, 1)]  # more lengths than have fitted pivots
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation_index.nearest_neighbours(df, F.col("vec_id") % 2 == 0).collect()
+    fives = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows if len(v) == 5]
+    want = neighbours_brute(fives, 5)
+    for i in want:
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i)
+        assert [j for _, j, _ in mine] == [j for j, _ in want[i]] and [s for *_, s in mine] == pytest.approx([s for _, s in want[i]], abs=1e-12)
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in got if r["query_id"] >= 100} == {(100 + 2 * n, 101 + 2 * n, 1.0) for n in range(20)}
+
+
+def test_recall_over_segments_with_a_hot_group(spark, monkeypatch):
+    """At the query's parameters: 6,000 vectors without clusters, and 4,000 near one direction."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10000, 32))
+    x[6000:] = x[0] + 0.05 * rng.normal(size=(4000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = permutation_index.nearest_neighbours(df, F.col("vec_id") % 50 == 0, segment_rows=2500, query_rows=64).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 10000, 50):
+        near = unit @ unit[q]
+        near[q] = -9
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-near)[:5].tolist()))
+    assert len(got) == 1000 and hits / 1000 >= 0.9
+
+
 def test_recall(spark, sf):
     from lattica.llm.queries import QUERIES
 

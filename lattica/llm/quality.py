@@ -7,12 +7,14 @@ of its tokens' vectors, with a pseudo-token for each immediate repetition, its l
 A network of two layers, in numpy, learns the labels; a temperature fitted on a part of the sample that it did not learn
 from makes its outputs probabilities.
 
-The sample is bounded: SAMPLE labelled rows (the smallest hashes of doc_id), of texts up to SAMPLE_BYTES. Everything else
-covers all rows; scoring is a map without shuffle.
+The sample is bounded: SAMPLE labelled rows (the smallest hashes of doc_id), whole texts. The driver reads them one
+partition at a time, so it never holds them all. Everything else covers all rows; scoring is a map without shuffle.
 
 Cases: null and empty texts get the score of a text without tokens; rows with a null label teach nothing, of several
-labels of one id the least counts; without labels, or with labels of one kind only, every score is the share of good
-ones (0.5 if none); repeated rows get equal scores; empty tables give empty results; other columns pass through.
+labels of one id the least counts, of several texts of one id the first by its bytes; without labels, or with labels of one
+kind only, every score is the share of good ones (0.5 if none); long texts are read whole; repeated rows get equal scores, and
+a score equal to the threshold is predicted 1; empty tables give empty results; other columns pass through, but those named
+held_out, score or predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import operator
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_rows
+from .common import discard, stored
 
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
+SAMPLE = 4000
+#: Of the sample, a partition that the driver reads at once.
+PART_BYTES = 4 << 20
 DIM, NONZERO, WINDOW = 96, 6, 2
 #: Words with fewer places in the sample are told by their shape.
 COMMON = 25
@@ -62,11 +66,11 @@ def index_vector(token: bytes) -> np.ndarray:
 
 
 class WordVectors:
-    """Word vectors learned from sample texts."""
+    """Word vectors learned from sample texts, which are read twice."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: Callable[[], Iterable[bytes]]):
         counts: Counter[bytes] = Counter()
-        for t in texts:
+        for t in texts():
             counts.update(t.split())
         self.common = frozenset(w for w, n in counts.items() if n >= COMMON)
         number: dict[bytes, int] = {}
@@ -76,7 +80,7 @@ class WordVectors:
             of[w] = number.setdefault(token, len(number))
         index = np.stack([index_vector(t) for t in number]) if number else np.zeros((0, DIM), np.float32)
         context = np.zeros_like(index)
-        for t in texts:
+        for t in texts():
             ids = np.array([of[w] for w in t.split()], np.int64)
             for step in range(1, WINDOW + 1):
                 if len(ids) > step:
@@ -190,24 +194,30 @@ class Network:
 
 
 class Model:
-    def __init__(self, texts: list[bytes], y: np.ndarray):
+    """texts: gives the sample's texts, each time anew; y: their labels."""
+
+    def __init__(self, texts: Callable[[], Iterable[bytes]], y: np.ndarray):
         self.words = WordVectors(texts)
         pool = Pooler(self.words)
-        self.network = Network(np.stack([pool.features(t) for t in texts]) if texts else np.zeros((0, DIM + 2)), y)
+        x = [pool.features(t) for t in texts()]
+        self.network = Network(np.stack(x) if x else np.zeros((0, DIM + 2)), y)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learns from at most `sample` of the labelled ids, of texts up to sample_bytes."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, part_bytes: int = PART_BYTES) -> Model:
+    """Learns from at most `sample` of the labelled ids."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("y"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r[id_col], float(r["y"])) for r in chosen], f"__q_id {labels.schema[id_col].dataType.simpleString()}, __q_y double")
-    text = F.col(text_col).cast("binary")
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     # each chosen id once: of repeated ids the first text by its bytes
-    found = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__q_id")).filter(F.octet_length(text_col) <= sample_bytes).groupBy("__q_id", "__q_y").agg(F.min(text).alias("t"))
-    rows = sorted(bounded_rows(found, sample, "sampled rows"), key=lambda r: r["__q_id"])
-    return Model([bytes(r["t"]) for r in rows], np.array([r["__q_y"] for r in rows]))
-
+    found = stored(docs.join(F.broadcast(ids), F.col(id_col) == F.col("__q_id")).groupBy("__q_id", "__q_y").agg(F.min(text).alias("t")), "quality-sample")
+    size = found.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    parts = found.repartitionByRange(max(1, -(-size // part_bytes)), "__q_id").sortWithinPartitions("__q_id")
+    y = np.array([r["__q_y"] for r in found.select("__q_id", "__q_y").orderBy("__q_id").collect()])  # at most sample rows
+    model = Model(lambda: (bytes(r["t"]) for r in parts.select("t").toLocalIterator()), y)
+    discard(found)
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -231,5 +241,5 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     """docs with held_out, score and predicted. Learns from labels of rows that are not held out."""
     split = labels.withColumn("__q_out", held_out)
     model = fit(docs, split.filter(~F.col("__q_out")).drop("__q_out"), id_col)
-    scored = score_quality(docs.withColumn("held_out", held_out), model)
+    scored = score_quality(docs.drop("predicted").withColumn("held_out", held_out), model)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

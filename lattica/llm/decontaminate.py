@@ -6,13 +6,15 @@ all exact pieces in a document, each hit gives the window where its item could l
 are verified together with Myers' bit-parallel edit distance (the item against any substring of the window).
 
 Texts are compared in lower case with white space as single spaces. Items under min_chars normalised characters are too
-short to be told when altered: they match unaltered, between word boundaries, only.
+short to be told when altered: they match unaltered, between word boundaries.
 
-Items are sent to the executors in chunks of at most max_item_bytes; more of them mean more passes over the documents,
-not a larger broadcast.
+Items are sent to the executors in chunks of about max_item_bytes, equal ones once; more of them mean more passes over the
+documents, not a larger broadcast. A worker builds the automaton of a chunk once for all its tasks.
 
 Cases: null and empty texts and items match nothing; equal items match as often as they are listed; repeated documents
-are judged one by one; long texts are matched whole; empty tables give empty results; other columns pass through.
+are judged one by one; long texts are matched whole; of several places with the least distance the first end counts, and
+matches are listed by item_id; empty tables give empty results; other columns pass through, but one named matches, which
+is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,42 +148,56 @@ class Matcher:
         return out
 
 
+#: Of this worker, by what they were built from: a few, as many as one job has.
 _matchers: dict[tuple, Matcher] = {}
+MOST_MATCHERS = 4
+
+
+def matcher_of(key: str, items: list[tuple[int, str]], error_rate: float, min_chars: int) -> Matcher:
+    """The matcher of items whose hash is key, which this process keeps."""
+    at = key, error_rate, min_chars
+    if at not in _matchers:
+        while len(_matchers) >= MOST_MATCHERS:
+            del _matchers[next(iter(_matchers))]
+        _matchers[at] = Matcher(items, error_rate, min_chars)
+    return _matchers[at]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """docs with matches: array of (item_id, distance, end), one for each item that the text holds."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_col), F.lit("")).alias("t"))
+    items = items.groupBy("i", "t").agg(F.count("*").alias("n"))
     size = items.agg(F.sum(F.octet_length("t") + 16).alias("n")).first()["n"] or 0
     chunks = 1 << max(0, -(-size // max_item_bytes) - 1).bit_length()
-    out: DataFrame | None = None
-    names = docs.columns
+    names = [c for c in docs.columns if c != "matches"]
+    out = docs.select(*names)
+    kind = "array<struct<item_id:bigint,distance:int,end:int>>"
+    found = F.array().cast(kind)
     for c in range(chunks):
         part = items if chunks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == c)
-        rows = [(r["i"], r["t"]) for r in bounded_rows(part, max_item_bytes // 16, "benchmark items")]
-        source = docs if out is None else out
-        found = _matched(source, rows, error_rate, min_chars, text_col, "matches" if out is None else "__dc_more")
-        if out is not None:
-            found = found.select(*names, F.concat("matches", "__dc_more").alias("matches"))
-        out = found
-    return out
+        # a chunk's size is even by its hash; a single item may be as long as it is
+        rows = sorted(((r["i"], r["t"], r["n"]) for r in bounded_rows(part, max_item_bytes // 8 + 1000, "benchmark items in a chunk")), key=str)
+        out = _matched(out, rows, error_rate, min_chars, text_col, f"__dc_{c}")
+        found = F.concat(found, f"__dc_{c}")
+    by_id = lambda a, b: F.when(a["item_id"].eqNullSafe(b["item_id"]), 0).when(a["item_id"].isNull() | (a["item_id"] < b["item_id"]), -1).otherwise(1)
+    return out.select(*names, F.array_sort(found, by_id).alias("matches"))
 
 
-def _matched(docs: DataFrame, items: list[tuple[int, str]], error_rate: float, min_chars: int, text_col: str, name: str) -> DataFrame:
-    kept = [c for c in docs.columns if c != name]
+def _matched(docs: DataFrame, items: list[tuple[int, str, int]], error_rate: float, min_chars: int, text_col: str, name: str) -> DataFrame:
+    kept = docs.columns
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, _MATCH)])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most max_item_bytes
+    key = xxhash.xxh128_hexdigest(repr(items).encode("utf-8", "surrogatepass"))
+    sent = docs.sparkSession.sparkContext.broadcast(items)  # about max_item_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (sent.id if hasattr(sent, "id") else id(sent), len(sent.value), error_rate, min_chars)
-        if key not in _matchers:
-            _matchers.clear()
-            _matchers[key] = Matcher(sent.value, error_rate, min_chars)
-        matcher = _matchers[key]
+        # by import: what a nested function holds is copied to each task
+        from lattica.llm.decontaminate import matcher_of
+
+        matcher = matcher_of(key, [(i, t) for i, t, n in sent.value for _ in range(n)], error_rate, min_chars)
         for batch in batches:
             texts = batch.column(kept.index(text_col))
             found = [[{"item_id": i, "distance": d, "end": e} for i, d, e in matcher.match(x.as_py())] for x in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -5,12 +5,14 @@ and final aggregation, so a hot line moves one sketch a task. Lines whose estima
 boilerplate, well under are not; those within five standard errors get an exact distinct count first. Of a boilerplate
 line only its first occurrence in the corpus (smallest document, then position) stays.
 
-All of it is DataFrame functions. Lines are compared trimmed, by 64-bit hash and length; blank lines and those under
-min_chars are left alone.
+All of it is DataFrame functions. Lines are compared trimmed, by 64-bit hash and length; blank lines are left alone, and
+those under min_chars if that is more than one. What meets all occurrences of a line is dealt to SALTS tasks, however hot
+the line.
 
 Cases: a null text stays null, an empty one empty; a null site counts as one site named ""; repeated rows (same id, site
-and text) count as one document and get the same result; a document of boilerplate only gets an empty text; empty
-tables give empty results; other columns pass through unread.
+and text) count as one document and get the same result; of occurrences the first by id, then by hash of site and text, then
+by position stays; a document of boilerplate only gets an empty text; long texts are split whole, their lines to rows; empty
+tables give empty results; other columns pass through unread, but one named n_removed, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import stored
 #: A line on so many sites is boilerplate; log2 of the sketch's registers.
 MIN_SITES = 5
 LG_K = 12
+SALTS = 16
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -38,7 +41,15 @@ def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     return at.select("__ld_id", "__ld_key", "__ld_site", "__ld_pos", F.xxhash64("__ld_line").alias("__ld_h"), F.length("__ld_line").alias("__ld_len"))
 
 
-def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def _salted(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("__ld_salt", F.pmod(F.xxhash64("__ld_key", "__ld_pos"), F.lit(SALTS)).cast("int"))
+
+
+def _each_salt(few: DataFrame) -> DataFrame:
+    return few.withColumn("__ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The boilerplate lines: __ld_h, __ld_len (hash and length), sites (distinct, exact where near min_sites, else
     estimated), copies, and __ld_first, the occurrence that stays."""
     lines = _lines(_keyed(docs, id_col, text_col, site_col), min_chars)
@@ -52,17 +63,17 @@ def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, m
     # a line needs that many occurrences before its sketch matters; written once, for it is read twice
     likely = stored(spread.filter((F.col("copies") >= min_sites) & (F.col("est") > min_sites - width)), "line-spread")
     near = likely.filter(F.col("est") <= min_sites + width).select("__ld_h", "__ld_len")
-    exact = lines.join(near, ["__ld_h", "__ld_len"], "left_semi").select("__ld_h", "__ld_len", "__ld_site").distinct().groupBy("__ld_h", "__ld_len").agg(F.count("*").alias("exact"))
+    exact = _salted(lines).join(_each_salt(near), ["__ld_h", "__ld_len", "__ld_salt"], "left_semi").select("__ld_h", "__ld_len", "__ld_site").distinct().groupBy("__ld_h", "__ld_len").agg(F.count("*").alias("exact"))
     sites = F.coalesce("exact", F.greatest(F.col("est"), F.lit(0)).cast("long"))
     return likely.join(exact, ["__ld_h", "__ld_len"], "left").withColumn("sites", sites).filter(F.col("sites") >= min_sites).select("__ld_h", "__ld_len", "sites", "copies", "__ld_first")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with the text free of cross-site boilerplate, and n_removed, the lines taken from each."""
     bad = stored(line_spread(docs, min_sites, lg_k, min_chars, id_col, text_col, site_col).select("__ld_h", "__ld_len", "__ld_first"), "boilerplate")
     keyed = _keyed(docs, id_col, text_col, site_col)
     me = F.struct("__ld_id", "__ld_key", "__ld_pos")
-    gone = _lines(keyed, min_chars).join(bad, ["__ld_h", "__ld_len"]).filter(~me.eqNullSafe(F.col("__ld_first")))
+    gone = _salted(_lines(keyed, min_chars)).join(_each_salt(bad), ["__ld_h", "__ld_len", "__ld_salt"]).filter(~me.eqNullSafe(F.col("__ld_first")))
     gone = gone.groupBy("__ld_id", "__ld_key").agg(F.collect_set("__ld_pos").alias("__ld_gone"))
     gone = gone.select(F.col("__ld_id").alias("__ld_id2"), F.col("__ld_key").alias("__ld_key2"), "__ld_gone")
     site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))

@@ -96,7 +96,7 @@ WITH pieces AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), lines AS (SELECT *, trim(raw, ' ') AS line FROM pieces),
 bad AS (
-  SELECT line FROM lines WHERE length(line) >= 10 GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 5
+  SELECT line FROM lines WHERE length(line) >= 1 GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 5
 ), marked AS (
   SELECT l.*, b.line IS NOT NULL AND row_number() OVER (PARTITION BY l.line ORDER BY doc_id, pos) > 1 AS gone
   FROM lines l LEFT JOIN bad b ON l.line = b.line

@@ -58,7 +58,7 @@ def test_lines(spark):
     rows += [(40, "  Shared by everyone here. \nkeep me please now", "s0", None)]
     rows += [(50, "\n".join(["Shared by everyone here."] * 3000 + ["a last line stays"]), "s3", None)]
     out = {}
-    for r in line_dedup.dedup_lines(docs(spark, rows)).collect():
+    for r in line_dedup.dedup_lines(docs(spark, rows), min_chars=10).collect():
         out.setdefault(r["doc_id"], []).append((r["text"], r["n_removed"]))
     assert out[0] == [(rows[0][1], 0)]  # the first occurrence stays
     assert all(out[i] == [(f"Own line number {i} here.\n\nshort", 1)] for i in range(1, 6))
@@ -66,10 +66,16 @@ def test_lines(spark):
     assert all(out[20 + i] == [("On one site only, many times.", 0)] for i in range(9))
     assert out[40] == [("keep me please now", 1)] and out[50] == [("a last line stays", 3000)]
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
-    spread = line_dedup.line_spread(docs(spark, rows), min_sites=2).collect()
+    spread = line_dedup.line_spread(docs(spark, rows), min_sites=2, min_chars=10).collect()
     assert [r["sites"] for r in spread] == [7]
 
 
+def test_short_lines_are_counted(spark):
+    rows = [(i, f"Les.\nText number {i} of its own.\n \nX", f"s{i}", None) for i in range(6)] + [(9, "Les.", None, "clash")]
+    out = line_dedup.dedup_lines(docs(spark, rows))
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()} == {0: (rows[0][1], 0), **{i: (f"Text number {i} of its own.\n ", 2) for i in range(1, 6)}, 9: ("", 1)}
+
+
 def test_near_threshold_counts_are_exact(spark):
     rows = [(100 * n + i, f"This line stands on {n} sites.", f"s{i}", None) for n in range(1, 40) for i in range(n)]
     got = line_dedup.line_spread(docs(spark, rows), min_sites=20, lg_k=4)  # a coarse sketch

@@ -177,6 +177,40 @@ def test_mandatory_trigrams():
     assert ss.required("[0-9a-f]{16,}") is True and ss.required("ab") is True
 
 
+def test_long_tokens_and_long_texts_in_linear_time():
+    import time
+
+    scan = ss.scanner(tuple(ss._LONG_HEX if r.kind == "hex" else r for r in ss.BASE_RULES + ss.MORE_RULES))
+    for text, kind in (("ghp_" + "a1" * 2000, "github"), ("xoxb-" + "a1" * 2000, "slack"), ("sk_live_" + "a1" * 2000, "stripe"), ("ftp://" + "u" * 900 + ":" + "p" * 900 + "@h", "url_login")):
+        assert (kind, 0, len(text)) in scan([text])[0]
+    n = 10 << 20
+    for unit in ("eyJ", "eyJaaaaaaaa.", "a", "password ", "token=", "xoxb-", "ghp_", "AKIA", "http://a:", "http://", "-----BEGIN ", "sk_live_", "AIza", "deadbeef", "api_key  "):
+        began = time.thread_time()
+        scan([unit * (n // len(unit)) + " .eyJ"])
+        assert time.thread_time() - began < 12, unit
+
+
+def plain_scan(text, rules):
+    order = [r.kind for r in rules]
+    found = [(m.start(), order.index(r.kind), r.kind, m.end()) for r in rules for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least]
+    return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found)]
+
+
+def test_secret_query_equals_brute_force(spark, sf):
+    import hashlib
+
+    from lattica.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op5_secret_scan"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        base = plain_scan(texts[r["doc_id"]], ss.BASE_RULES)
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in base) for k in ("assign:", "access:", "hex:")]
+        assert r["spans"] == ",".join(plain_scan(texts[r["doc_id"]], ss.BASE_RULES + ss.MORE_RULES))
+
+
 def test_secret_table(spark):
     rows = [(1, "token = abcdefghijkl", "n"), (2, None, None), (3, "", "n"), (3, "x " * 40000 + "AKIA" + "Q" * 16, "n"), (4, "é password:short deadbeefdeadbeef", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, secrets string")
@@ -235,6 +269,55 @@ def test_matches_equal_brute_force(spark):
     assert dc.find_items(df.limit(0), bench).count() == 0
 
 
+def test_clashing_columns_equal_items_and_chunks(spark):
+    text = "the quick brown fox jumps over the lazy dog, and then some"
+    items = spark.createDataFrame([(7, text), (7, text), (3, text.upper()), (None, text), (4, "something else that nobody has said at all")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"so {text}.", "x", 9), (2, None, None, None), (2, None, None, None)], "doc_id long, text string, matches string, item_id int")
+    for most in (dc.MAX_ITEM_BYTES, 60):  # one chunk, several
+        out = dc.find_items(df, items, max_item_bytes=most)
+        assert out.columns == ["doc_id", "text", "item_id", "matches"]
+        assert sorted((r["doc_id"], [tuple(m) for m in r["matches"]]) for r in out.collect()) == [(1, [(None, 0, 61), (3, 0, 61), (7, 0, 61), (7, 0, 61)]), (2, []), (2, [])]
+
+
+def test_a_worker_builds_a_matcher_once():
+    dc._matchers.clear()
+    items = [(1, "x" * 40)]
+    a = dc.matcher_of("k", items, 0.08, 32)
+    assert dc.matcher_of("k", items, 0.08, 32) is a and dc.matcher_of("k", items, 0.1, 32) is not a
+    for i in range(9):
+        dc.matcher_of(str(i), items, 0.08, 32)
+    assert len(dc._matchers) == dc.MOST_MATCHERS
+
+
+def test_decontamination_query_equals_brute_force(spark, tmp_path):
+    from lattica.llm.queries import QUERIES
+
+    rnd = random.Random(21)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(60)]
+    say = lambda n: " ".join(rnd.choices(words, k=n))
+    items = [(i, say(rnd.randint(2, 12))) for i in range(10)]
+    docs = []
+    for i in range(40):
+        t = items[i % 10][1]
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randrange(len(t))
+            t = t[:at] + rnd.choice("xyz ") + t[at + rnd.randint(0, 1) :]
+        docs.append((i, f"{say(8)} {t} {say(8)}".title()))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for d, t in docs:
+        for i, x in items:
+            p, text = dc.normal(x), dc.normal(t)
+            if len(p) < dc.MIN_CHARS:
+                if f" {p} " in f" {text} ":
+                    want.add((d, i, 0))
+            elif (k := edits(p, text)) <= int(dc.ERROR_RATE * len(p)):
+                want.add((d, i, k))
+    got = QUERIES["op7_decontamination"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(got) == len(want) > 15
+
+
 def test_short_items_match_whole(spark):
     items = spark.createDataFrame([(1, "What  is pi?"), (2, "art"), (3, " "), (4, "x" * 40)], "item_id long, text string")
     texts = ["So: what is\nPI? Tell.", "what is pie?", "what iss pi?", "partly smart", "smart Art, it is", "art", "(what is pi?)art"]
@@ -270,6 +353,39 @@ def test_quality(spark):
     assert ql.classify(df.limit(0), labels, held_out).count() == 0
 
 
+def test_long_labelled_texts_teach(spark):
+    good, bad = "calm words in order, said well. " * 4000, "%%% $$$ !!! ### " * 9000
+    rows = [(i, (good if i % 2 else bad)[: 90_000 + 64 * i]) for i in range(60)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = ql.fit(df, labels, part_bytes=1 << 18)
+    assert model.network.constant is None  # every text has over 64 KB
+    scores = {r["doc_id"]: r["score"] for r in ql.score_quality(df, model).collect()}
+    assert all((s > 0.5) == i % 2 for i, s in scores.items())
+
+
+def test_clashing_columns_and_repeats_of_the_classifier(spark):
+    df = spark.createDataFrame([(i // 2, "good words" if i % 4 < 2 else "BAD!!!", 1, "x", "y") for i in range(40)], "doc_id long, text string, predicted int, held_out string, score string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, quality int")
+    out = ql.classify(df, labels, F.col("doc_id") % 5 == 0)
+    assert sorted(out.columns) == sorted(df.columns) and dict(out.dtypes)["held_out"] == "boolean" and dict(out.dtypes)["score"] == "double"
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    assert len(by) == 20 and all(len(x) == 1 for x in by.values())
+
+
+def test_quality_query_on_held_out_labels(spark, sf):
+    import zlib
+
+    from lattica.llm.queries import QUERIES
+
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.7) for i, r in got.items())
+    held = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in got and got[r["doc_id"]]["held_out"]]
+    assert len(held) > 50 and np.mean([a == b for a, b in held]) >= 0.95
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 6))

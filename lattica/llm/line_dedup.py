@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import built_on, discard, stored
 
 #: A line on so many sites is boilerplate; log2 of the sketch's registers.
 MIN_SITES = 5
@@ -65,12 +65,14 @@ def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, m
     near = likely.filter(F.col("est") <= min_sites + width).select("__ld_h", "__ld_len")
     exact = _salted(lines).join(_each_salt(near), ["__ld_h", "__ld_len", "__ld_salt"], "left_semi").select("__ld_h", "__ld_len", "__ld_site").distinct().groupBy("__ld_h", "__ld_len").agg(F.count("*").alias("exact"))
     sites = F.coalesce("exact", F.greatest(F.col("est"), F.lit(0)).cast("long"))
-    return likely.join(exact, ["__ld_h", "__ld_len"], "left").withColumn("sites", sites).filter(F.col("sites") >= min_sites).select("__ld_h", "__ld_len", "sites", "copies", "__ld_first")
+    return built_on(likely, likely.join(exact, ["__ld_h", "__ld_len"], "left").withColumn("sites", sites).filter(F.col("sites") >= min_sites).select("__ld_h", "__ld_len", "sites", "copies", "__ld_first"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with the text free of cross-site boilerplate, and n_removed, the lines taken from each."""
-    bad = stored(line_spread(docs, min_sites, lg_k, min_chars, id_col, text_col, site_col).select("__ld_h", "__ld_len", "__ld_first"), "boilerplate")
+    spread = line_spread(docs, min_sites, lg_k, min_chars, id_col, text_col, site_col)
+    bad = stored(spread.select("__ld_h", "__ld_len", "__ld_first"), "boilerplate")
+    discard(spread)
     keyed = _keyed(docs, id_col, text_col, site_col)
     me = F.struct("__ld_id", "__ld_key", "__ld_pos")
     gone = _salted(_lines(keyed, min_chars)).join(_each_salt(bad), ["__ld_h", "__ld_len", "__ld_salt"]).filter(~me.eqNullSafe(F.col("__ld_first")))
@@ -83,4 +85,4 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, m
     kept = F.transform(F.filter(at, lambda s: ~F.array_contains("__ld_gone", s["i"])), lambda s: s["x"])
     text = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     names = [c for c in docs.columns if c != "n_removed"]
-    return full.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed"))
+    return built_on(bad, full.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed")))

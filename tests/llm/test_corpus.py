@@ -341,13 +341,93 @@ def test_pipeline(spark, sf):
 
 
 def test_pipeline_stages_take_nothing_and_odd_rows(spark, sf):
+    """Nulls in any column, empty and very long texts, repeated rows, empty tables, clashing columns, stage by stage."""
     import corpus_pipeline as cp
 
-    empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "one two three four five six seven", None, None, 3)], empty.schema)
-    for _, stage in cp.STAGES:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    empty = docs.limit(0)
+    prose = docs.filter("lang = 'en' AND length(text) BETWEEN 800 AND 1500").orderBy("doc_id").first()["text"]
+    long = " ".join(f"{prose[i % 700 : i % 700 + 60]}" for i in range(12000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "one two three four five six seven", None, None, 3), (3, prose, "en", None, 1), (3, prose, "en", None, 1), (None, prose, None, "s", None), (4, long, "en", "s", len(long))]
+    clashing = "held_out string, score string, predicted string, n_removed string, matches string, component_id string, block string"
+    odd = spark.createDataFrame([(*r, *["mine"] * 7) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clashing}")
+    left = {}
+    for name, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
-        assert stage(spark, odd, sf).count() <= 4
+        out = stage(spark, odd, sf)
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == odd.columns and out.dtypes == odd.dtypes
+            assert {r[c] for r in out.collect() for c in odd.columns[5:]} <= {"mine"}
+        left[name] = sorted(((r["doc_id"], len(r["text"] or "")) for r in out.collect()), key=str)
+    size = lambda i: (rows[i][0], len(rows[i][1] or ""))
+    assert left["quality classifier"].count((3, len(prose))) in (0, 2)  # one verdict
+    assert left["line dedup"] == sorted(map(size, range(8)), key=str)  # nothing is on five sites
+    assert left["n-gram Jaccard join"] == sorted(map(size, (0, 1, 2, 3, 4, 7)), key=str)
+    assert left["benchmark decontamination"] == sorted(map(size, range(8)), key=str)
+    mixed = cp.mixture(spark, odd, sf)
+    assert set(odd.columns) <= set(mixed.columns) and dict(mixed.dtypes)["block"] == "bigint" and {size(7)} <= set(left[cp.STAGES[-1][0]])
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage by its definition on a small corpus: 2 sites with boilerplate, copies, benchmark passages, junk."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(33)
+    words = ["".join(rnd.choices("aeiounrstlm", k=rnd.randint(2, 8))) for _ in range(500)]
+    say = lambda n: " ".join(rnd.choices(words, k=n)).capitalize() + "."
+    exam = [(i, say(18)) for i in range(4)]
+    notices = ["Subscribe to our letter today.", "Home", "All rights reserved by us."]
+    docs, kinds = [], {}
+    for i in range(260):
+        lines = [say(rnd.randint(20, 40)) for _ in range(rnd.randint(1, 3))]
+        kind = "plain"
+        if i % 9 == 4:
+            kind, lines = "junk", [" ".join(w.upper() + "%%%!!" for w in rnd.choices(words[:20], k=40))]
+        elif i % 13 == 5:
+            kind = "exam"
+            at = rnd.randrange(len(lines))
+            lines[at] += " " + exam[i % 4][1].replace("e", "E", 1)
+        if kind != "junk" and i % 3 == 0:
+            lines.insert(rnd.randint(0, len(lines)), rnd.choice(notices))
+        kinds[i] = kind
+        docs.append((i, "\n".join(lines), "en", f"s{i % 7}", 0))
+    for j, i in enumerate(rnd.sample([i for i in kinds if kinds[i] == "plain"], 30)):
+        w = docs[i][1].split(" ")
+        w[rnd.randrange(len(w))] += "x" if j % 2 else ""
+        kinds[1000 + j] = "plain"
+        docs.append((1000 + j, " ".join(w), "en", f"s{j % 7}", 0))
+    labels = [(i, int(k != "junk"), 0) for i, k in kinds.items() if i % 2 == 0 or k == "junk"]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", exam, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = [r for r in docs if kinds[r[0]] != "junk"]
+    # lines on five sites or more stay where they come first
+    sites, first = collections.defaultdict(set), {}
+    for i, t, _, s, _ in sorted(kept):
+        for at, line in enumerate(x.strip(" ") for x in t.split("\n")):
+            if line:
+                sites[line].add(s)
+                first.setdefault(line, (i, at))
+    cleaned = []
+    for i, t, lang, s, _ in kept:
+        lines = [x for at, x in enumerate(t.split("\n")) if not x.strip(" ") or len(sites[x.strip(" ")]) < 5 or first[x.strip(" ")] == (i, at)]
+        if len(lines) == len(t.split("\n")) or "".join(lines).strip():
+            cleaned.append((i, "\n".join(lines), lang, s, len("\n".join(lines))))
+    assert sum(len(sites[n]) >= 5 for n in notices) == 3
+    groups = {d: c for d, _, c in brute_groups([(r[0], r[1]) for r in cleaned], 75)}
+    single = [r for r in cleaned if groups[r[0]] == r[0]]
+    assert len(single) < len(cleaned) - 10
+    from lattica.llm import decontaminate as dc
+    from tests.llm.test_texts import edits
+
+    clean = [r for r in single if all(edits(p, dc.normal(r[1])) > int(dc.ERROR_RATE * len(p)) for p in (dc.normal(t) for _, t in exam))]
+    assert 10 < len(single) - len(clean) and {kinds[r[0]] for r in clean} == {"plain"}
+    out = cp.run(spark, str(tmp_path)).collect()
+    known = {r[0]: r for r in clean}
+    assert {r["doc_id"] for r in out} == set(known) and all(tuple(r[:5]) == known[r["doc_id"]] for r in out)
+    from tests.llm.test_native import drawn
+
+    got = sorted((r["doc_id"], r["n_tokens"], r["epoch"], r["block"], r["slot"]) for r in out)
+    assert got == drawn([(r[0], r[1], r[3]) for r in clean], entropy_ratio=0.95, max_repetition=2.0)
 
 
 def test_pipeline_counts_short_lines(spark, sf):

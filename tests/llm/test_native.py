@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm import line_dedup, mixing, url_filter
@@ -82,6 +83,78 @@ def test_near_threshold_counts_are_exact(spark):
     assert got.count() == 20 and {r["copies"] for r in got.collect()} == set(range(20, 40))
 
 
+def spark_hash(*values, seed=42):
+    """xxhash64() of Spark: strings, ("int", n) or longs in turn."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v[1].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def drawn(rows, entropy_ratio, max_repetition, budget=None, block_tokens=1 << 20, seed=17, range_rows=2000):
+    """The mixture by its definition, of rows (id, text, source): (id, tokens, epoch, block, slot), sorted."""
+    count = {i: len((t or "").encode().split()) for i, t, _ in rows}
+    total = {}
+    for i, _, s in rows:
+        total.setdefault(s, [0, 0])
+        total[s][0] += count[i]
+        total[s][1] += 1
+    whole = sum(t for t, _ in total.values())
+    budget = budget or whole
+    # the least exponent that keeps both limits, by a fine grid around the bisected one
+    shares = lambda a: {s: (t / whole) ** a / sum((u / whole) ** a for u, _ in total.values() if u) for s, (t, _) in total.items() if t}
+    n = sum(t > 0 for t, _ in total.values())
+
+    def fine(a):
+        w = shares(a)
+        flat = entropy_ratio is None or -sum(x * math.log(x) for x in w.values()) <= entropy_ratio * math.log(n) + 1e-12
+        return flat and (max_repetition is None or all(budget * x <= max_repetition * total[s][0] * (1 + 1e-12) for s, x in w.items()))
+
+    a = 0.0 if n < 2 or fine(0.0) else next((k / 4096 for k in range(1, 4096) if fine(k / 4096)), 1.0)
+    if 0 < a < 1:
+        low = a - 1 / 4096
+        for _ in range(60):
+            mid = (low + a) / 2
+            low, a = (low, mid) if fine(mid) else (mid, a)
+    given = {s: x * budget for s, x in shares(a).items()}
+    blocks = max(1, math.ceil(budget / block_tokens))
+    out = []
+    for s, b in given.items():
+        tokens, size = total[s]
+        ranges = max(1, 1 << math.ceil(math.log2(max(1, size / range_rows))))
+        for epoch in range(math.ceil(b / tokens - 1e-12)):
+            order = []
+            for i, t, source in rows:
+                if source == s:
+                    h = spark_hash(t or "")
+                    u = spark_hash(("int", seed), ("int", epoch), str(i), h)
+                    order.append((math.floor(((u & (1 << 64) - 1) >> 11) * 2.0**-53 * ranges), u, i, h, count[i]))
+            place = epoch * tokens
+            for _, u, i, _, c in sorted(order):
+                if place < b:
+                    out.append((i, c, epoch, min(math.floor(place / b * blocks), blocks - 1), spark_hash(("int", seed + 1), u)))
+                place += c
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limits", [{"entropy_ratio": 0.95, "max_repetition": 2.0}, {"entropy_ratio": 0.6, "max_repetition": None}, {"entropy_ratio": None, "max_repetition": 1.3}, {"entropy_ratio": 0.8, "max_repetition": 3.0, "budget": 5000}])
+def test_mixture_equals_brute_force(spark, limits):
+    rows = [(i, " ".join(["w", "é"] * (1 + i % 5)) if i % 17 else "", "hot" if i % 3 else f"s{i % 12}") for i in range(600)]
+    rows.append((7000, "long " * 30000, "s3"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, **limits, block_tokens=700, range_rows=40).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["epoch"], r["block"], r["slot"]) for r in got) == drawn(rows, **limits, block_tokens=700, range_rows=40)
+
+
+def test_mixture_query_equals_brute_force(spark, sf):
+    from lattica.llm.queries import QUERIES
+
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = QUERIES["op1_mixture"](spark, sf)
+    assert got.columns == ["doc_id", "source", "n_tokens", "epoch", "block", "slot"]
+    assert sorted((r["doc_id"], r["n_tokens"], r["epoch"], r["block"], r["slot"]) for r in got.collect()) == drawn(rows, 0.95, 2.0)
+
+
 def test_exponent():
     tokens = [900, 50, 50]
     assert mixing.solve_exponent(tokens, 1000, None, None) == 0

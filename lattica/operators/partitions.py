@@ -42,7 +42,7 @@ def stripped(df: DataFrame, columns: Sequence[str], weight: str | None = None) -
 
 def clusters(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """Clusters of two and more rows with their members' ids in order. A cluster's members meet in one row: for
-    inspection of small clusters. attribute_vector() gives the same membership a row at a time."""
+    inspection of small clusters. cluster_members() gives the same a row for each member."""
     return df.groupBy(*check_columns(df, columns)).agg(F.sort_array(F.collect_list(id_col)).alias("members"), F.count("*").alias(COUNT)).filter(F.col(COUNT) > 1)
 
 
@@ -89,6 +89,17 @@ def attribute_vector(df: DataFrame, columns: Sequence[str], id_col: str) -> Data
     return df.join(ids, same, "left").select(id_col, F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"))
 
 
+def cluster_members(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
+    """The members of the clusters of two and more rows, a row each: cluster_id, position (from 1, by id) and id_col. No
+    cluster meets in one task: members are ranked by ranges, as clusters are numbered."""
+    cols = check_columns(df, columns)
+    ids = cluster_ids(df, cols).select(*[F.col(c).alias(f"__{c}") for c in cols], "cluster_id")
+    rows = df.join(ids.hint("merge"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]).select("cluster_id", id_col)
+    ranked, _ = cluster_ids_of(rows, ["cluster_id", id_col], "__at")
+    first = ranked.groupBy("cluster_id").agg(F.min("__at").alias("__first"))
+    return ranked.hint("merge").join(first, "cluster_id").select("cluster_id", (F.col("__at") - F.col("__first") + 1).alias("position"), id_col)
+
+
 def statistics(df: DataFrame, column_sets: Sequence[Sequence[str]]) -> DataFrame:
     """For each set of columns: clusters (of two and more rows), partition_size (rows in them), distinct_groups and
     total_rows, all sets in one grouping-sets job."""

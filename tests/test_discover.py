@@ -4,26 +4,30 @@ import pytest
 
 from lattica.plans import compare
 from lattica.plans.discover import discover
-from tests.fixtures import ABCD, brute_minimal, employees
+from tests.fixtures import GRID, VOYAGES, brute_minimal, cells, voyages
 
 SEARCHES = ["levelwise", "bestfirst"]
 
 
-@pytest.mark.parametrize("eps, measure, count", [(0.0, "g3", 23), (0.05, "g3", 23), (0.15, "g3", 30), (0.05, "g1", 28)])
-def test_employee_counts(spark, eps, measure, count):
-    df = employees(spark)
+def by_definition(rows, names, eps, which=0, max_lhs=None):
+    return {(frozenset(names[c] for c in x), names[a]): e for (x, a), e in brute_minimal(rows, len(names), eps, which, max_lhs).items()}
+
+
+@pytest.mark.parametrize("eps, measure", [(0.0, "g3"), (0.05, "g3"), (0.15, "g3"), (0.05, "g1")])
+def test_voyages(spark, eps, measure):
+    df = voyages(spark)
     a, b = (discover(df, eps, measure, search=s) for s in SEARCHES)
-    assert len(a.rows) == count and a.rows == b.rows
-    assert a.validations < 7 * 63
+    assert {(frozenset(r[1]), r[2]): r[3] for r in a.rows} == by_definition(cells(VOYAGES), df.columns, eps, int(measure == "g1")) and a.rows == b.rows
+    assert a.validations < 6 * 31
 
 
 @pytest.mark.parametrize("search", SEARCHES)
-def test_abcd(spark, search):
-    df = spark.createDataFrame(ABCD, "A string, B string, C string, D string")
+def test_grid(spark, search):
+    df = spark.createDataFrame(GRID, "A string, B string, C string, D string")
     for eps in (0.1, 0.3):
-        assert discover(df, eps, search=search).pairs() == {(frozenset("A"), "D"), (frozenset("D"), "A"), (frozenset("B"), "C"), (frozenset("C"), "B")}
+        assert discover(df, eps, search=search).pairs() == set(by_definition(GRID, "ABCD", eps))
     only = discover(df, 0.1, rhs=["D"], search=search)
-    assert only.pairs() == {(frozenset("A"), "D")}
+    assert only.pairs() == {k for k in by_definition(GRID, "ABCD", 0.1) if k[1] == "D"} and (frozenset("B"), "D") in only.pairs()
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -68,15 +72,17 @@ def test_edges(spark):
 
 
 def test_compare(spark):
-    a = discover(employees(spark), 0.15).to_df(spark)
-    b = discover(employees(spark), 0.0).to_df(spark)
-    assert compare.common(a, b).count() == 23 and compare.only(a, b).count() == 7 and compare.only(b, a).count() == 0
-    assert compare.merged(a, b).count() == 30
+    rows = cells(VOYAGES)
+    wide, exact = (set(by_definition(rows, VOYAGES.split("\n", 1)[0].split(","), e)) for e in (0.15, 0.0))
+    a = discover(voyages(spark), 0.15).to_df(spark)
+    b = discover(voyages(spark), 0.0).to_df(spark)
+    assert compare.common(a, b).count() == len(wide & exact) and compare.only(a, b).count() == len(wide - exact) and compare.only(b, a).count() == len(exact - wide)
+    assert compare.merged(a, b).count() == len(wide | exact)
     top = compare.top_by_error(a, 3).collect()
     assert [r["error"] for r in top] == [0, 0, 0]
-    assert compare.minimal(a).count() == 30
-    lines = discover(employees(spark), 0.15).show(2)
-    assert len(lines) == 3 and lines[-1] == "30 dependencies"
+    assert compare.minimal(a).count() == len(wide)
+    lines = discover(voyages(spark), 0.15).show(2)
+    assert len(lines) == 3 and lines[-1] == f"{len(wide)} dependencies"
 
 
 def test_large_tables_take_the_same_path(spark, monkeypatch):

@@ -1,41 +1,46 @@
 import random
+from itertools import combinations
 
 import pytest
 
 from lattica.operators import encoding, levels, measures, partitions
-from tests.fixtures import ABCD, CITIES, SHAPES, SHAPES_CJK, brute_errors, employees
+from tests.fixtures import GRID, LETTERS, TILES, VOYAGES, brute_alone, brute_errors, brute_partition, cells, voyages
 
 
-@pytest.fixture(scope="module")
-def emp(spark):
-    return employees(spark)
+NAMES = VOYAGES.split("\n", 1)[0].split(",")
 
 
-@pytest.mark.parametrize("lhs, rhs, g3, g1", [(["department"], "manager", 1 / 7, 2 / 56), (["department"], "office_number", 1 / 7, 6 / 56), (["manager"], "department", 0, 0), (["name"], "id", 1 / 7, 2 / 56), ([], "department", 5 / 7, 16 / 56)])
-def test_employee_goldens(emp, lhs, rhs, g3, g1):
-    r = measures.errors(emp, lhs, rhs).first()
-    assert (r["g3"], r["g1"]) == (g3, g1)
+@pytest.mark.parametrize("size", [0, 1, 2, 3])
+def test_errors_by_definition(spark, size):
+    df, rows = voyages(spark), cells(VOYAGES)
+    for rhs in (1, 3, 5):
+        for lhs in list(combinations([c for c in range(6) if c != rhs], size))[:4]:
+            r = measures.errors(df, [NAMES[c] for c in lhs], NAMES[rhs]).first()
+            assert (r["g3"], r["g1"]) == (brute_errors(rows, lhs, rhs) if lhs else brute_alone(rows, rhs))
+            assert r["total_rows"] == 10
 
 
-def test_shape_and_city_goldens(spark):
-    shapes = spark.createDataFrame(SHAPES, "id int, color string, size string, shape string")
-    got = {(",".join(x), a): measures.errors(shapes, list(x), a).first() for x, a in [(("color",), "size"), (("color",), "shape"), (("size",), "color"), (("shape",), "color"), (("color", "size"), "shape"), (("color", "shape"), "size"), (("size",), "shape")]}
-    assert [got[k]["g3"] for k in (("color", "size"), ("color", "shape"), ("size", "color"), ("shape", "color"), ("color,size", "shape"), ("color,shape", "size"))] == [1 / 4, 2 / 4, 2 / 4, 1 / 4, 2 / 4, 1 / 4]
-    assert [got[k]["g1"] for k in (("color", "size"), ("color", "shape"), ("size", "color"), ("size", "shape"), ("color,size", "shape"))] == [0.2, 0.3, 0.4, 0.5, 0.2]
-    cities = spark.createDataFrame(CITIES, "name string, age string, city string")
-    assert measures.error(cities, ["age"], "city") == 1 / 3 and measures.error(cities, ["age"], "name") == 2 / 3 and measures.error(cities, ["city"], "age") == 0
-    assert measures.error(cities, [], "age") == 2 / 3 and measures.error(cities, [], "age", "g1") == 1 / 2 and measures.error(cities, [], "name") == 0
+def test_known_errors(spark):
+    df = voyages(spark)
+    assert measures.error(df, ["pilot"], "port") == 0 and measures.error(df, ["port"], "pilot") == 1 / 9
+    tiles = spark.createDataFrame(TILES, "id int, wood string, size string, tone string")
+    assert measures.error(tiles, ["wood"], "tone") == 1 / 5 and measures.error(tiles, ["wood"], "tone", "g1") == 4 / 30
 
 
 def test_stripped_partitions(spark):
-    for rows in (SHAPES, SHAPES_CJK):
-        df = spark.createDataFrame(rows, "id int, color string, size string, shape string")
-        members = lambda *c: sorted(r["members"] for r in partitions.clusters(df, list(c), "id").collect())  # noqa: B023, E731
-        assert members("color") == [[0, 1, 2], [3, 4]]
-        assert members("color", "size") == [[0, 1], [3, 4]]
-        assert members("shape") == [[0, 2], [1, 3]]
-        assert members("color", "shape") == [[0, 2]]
-        assert sorted(r["cluster_size"] for r in partitions.product(df, ["color"], ["size"]).collect()) == [2, 2]
+    for rows, names in ((TILES, ("id", "wood", "size", "tone")), (LETTERS, ("id", "letter", "word"))):
+        df = spark.createDataFrame(rows, list(names))
+        for size in (1, 2):
+            for at in combinations(range(1, len(names)), size):
+                want = brute_partition(rows, at)
+                cols = [names[c] for c in at]
+                assert sorted(r["members"] for r in partitions.clusters(df, cols, "id").collect()) == want
+                got = {}
+                for r in partitions.cluster_members(df, cols, "id").collect():
+                    got.setdefault(r["cluster_id"], []).append((r["position"], r["id"]))
+                assert sorted([i for _, i in sorted(m)] for m in got.values()) == want
+                assert all([p for p, _ in sorted(m)] == list(range(1, len(m) + 1)) for m in got.values())
+                assert sorted(r["cluster_size"] for r in partitions.product(df, cols[:1], cols[1:]).collect()) == sorted(map(len, want))
 
 
 def test_separators_do_not_collide(spark):
@@ -100,8 +105,8 @@ def test_thresholds_and_validation(spark):
     assert measures.dynamic_threshold(["a", "b", "a"], {"a": 0.1, "b": 0.2}) == pytest.approx(0.3)
     with pytest.raises(ValueError):
         measures.dynamic_threshold(["a"], {"a": 1.5})
-    df = spark.createDataFrame(ABCD, "A string, B string, C string, D string")
-    assert measures.error(df, ["A"], "B") == 2 / 4 and measures.error(df, ["A"], "B", "g1") == 0.2
+    df = spark.createDataFrame(GRID, "A string, B string, C string, D string")
+    assert measures.error(df, ["A"], "B") == 2 / 6 and measures.error(df, ["A"], "B", "g1") == 4 / 42
     for lhs, rhs in ((["A"], "A"), (["nope"], "A")):
         with pytest.raises(ValueError):
             measures.errors(df, lhs, rhs)

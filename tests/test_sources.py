@@ -3,7 +3,7 @@ import pytest
 from lattica import experiment
 from lattica.sources import csv
 from lattica.sources.results import SCHEMA, ResultsTable, RunResult
-from tests.fixtures import EMPLOYEES, PEOPLE
+from tests.fixtures import READINGS, VOYAGES, brute_minimal, cells
 
 
 def put(path, text):
@@ -11,13 +11,13 @@ def put(path, text):
     return str(path)
 
 
-def test_people(spark, tmp_path):
-    path = put(tmp_path / "people.csv", PEOPLE)
+def test_readings(spark, tmp_path):
+    path = put(tmp_path / "readings.csv", READINGS)
     df = csv.read_csv(spark, path)
-    assert df.columns == ["ID", "Name"] and [tuple(r) for r in df.collect()] == [("1", "Alice"), ("2", "Bob"), ("3", "Charlie")]
+    assert df.columns == ["Probe", "Level"] and [tuple(r) for r in df.collect()] == cells(READINGS)
     bare = csv.CsvLoader.of(path).with_header(False).with_delimiter(",").load(spark)
-    assert bare.columns == ["col_1", "col_2"] and bare.count() == 4 and bare.first()[0] == "ID"
-    assert csv.row_count(spark, path) == 3 and csv.column_count(spark, path) == 2 and csv.shape(df) == (3, 2)
+    assert bare.columns == ["col_1", "col_2"] and bare.count() == 5 and bare.first()[0] == "Probe"
+    assert csv.row_count(spark, path) == 4 and csv.column_count(spark, path) == 2 and csv.shape(df) == (4, 2)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         csv.read_csv(spark, str(tmp_path / "missing.csv"))
 
@@ -64,10 +64,10 @@ def test_results(spark, tmp_path, fmt):
 
 
 def test_runs(spark, tmp_path):
-    path = put(tmp_path / "employees.csv", EMPLOYEES)
+    path = put(tmp_path / "voyages.csv", VOYAGES)
     out = ResultsTable(spark, str(tmp_path / "out"))
     row, found = experiment.run_one(csv.read_csv(spark, path), path, "tane", "FOCUSED", out, max_error=0.05)
-    assert row.status == "SUCCESS" and row.fd_count == 23 and row.config == "G3-No-Sampling" and "NO_SAMPLING" in row.stats
+    assert row.status == "SUCCESS" and row.fd_count == len(brute_minimal(cells(VOYAGES), 6, 0.05, 0)) and row.config == "G3-No-Sampling" and "NO_SAMPLING" in row.stats
     plan = experiment.run_suite(spark, [path], out, dry_run=True)
     assert len(plan) == 5 and {r.algorithm for r in plan} == {"levelwise", "bestfirst"}
     slow, _ = experiment.run_one(csv.read_csv(spark, path), path, "levelwise", timeout=1e-5)

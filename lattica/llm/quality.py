@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = found.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     parts = found.repartitionByRange(max(1, -(-size // part_bytes)), "__q_id").sortWithinPartitions("__q_id")
     y = np.array([r["__q_y"] for r in found.select("__q_id", "__q_y").orderBy("__q_id").collect()])  # at most sample rows
-    model = Model(lambda: (bytes(r["t"]) for r in parts.select("t").toLocalIterator()), y)
+    model = Model(lambda: (bytes(r["t"]) for r in parts.select("t").toLocalIterator(prefetchPartitions=True)), y)
     discard(found)
     return model
 

@@ -10,7 +10,8 @@ import argparse
 import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from .sources.csv import datasets_by_width, read_csv
 from .sources.results import ResultsTable, RunResult
 
 #: Names as result rows carry them.
+#: The strategies of the search, by the mode's name.
+STRATEGY_OF = {"NO_SAMPLING": "none", "RANDOM": "random", "FOCUSED": "focused", "NEYMAN": "neyman"}
 CONFIGS = {"NO_SAMPLING": "G3-No-Sampling", "RANDOM": "G3-Random-Sampling", "FOCUSED": "G3-Focused-Sampling", "NEYMAN": "G3-Neyman-Sampling"}
 ALGORITHMS = {"levelwise": "levelwise", "tane": "levelwise", "bestfirst": "bestfirst", "pyro": "bestfirst"}
 DEFAULTS = {"max_error": 0.05, "sample_param": 200.0, "seed": 114514, "timeout": 120.0}
@@ -40,10 +43,42 @@ class Timers:
             self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
 
 
-def memory_mb(spark: SparkSession) -> int:
-    """Heap in use in the driver's JVM."""
-    run = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    return int((run.totalMemory() - run.freeMemory()) >> 20)
+class MemoryMonitor:
+    """Watches the heap of the driver's JVM while a block runs: peak_mb, the last shares of the heap in use, and a call of
+    alert(level, share) whenever that passes to "warning" or "critical"."""
+
+    WARNING, CRITICAL, HISTORY = 0.70, 0.85, 10
+
+    def __init__(self, spark: SparkSession, interval: float = 0.2, alert: Callable[[str, float], None] | None = None):
+        self.runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        self.interval, self.alert = interval, alert
+        self.peak_mb, self.level, self.history = 0, "normal", deque(maxlen=self.HISTORY)
+        self._over = threading.Event()
+
+    def look(self) -> None:
+        used = self.runtime.totalMemory() - self.runtime.freeMemory()
+        share = used / self.runtime.maxMemory()
+        self.peak_mb = max(self.peak_mb, used >> 20)
+        self.history.append(share)
+        level = "critical" if share >= self.CRITICAL else "warning" if share >= self.WARNING else "normal"
+        if level not in (self.level, "normal") and self.alert:
+            self.alert(level, share)
+        self.level = level
+
+    def _watch(self) -> None:
+        while not self._over.wait(self.interval):
+            self.look()
+
+    def __enter__(self) -> MemoryMonitor:
+        self.look()
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._over.set()
+        self._thread.join()
+        self.look()
 
 
 class RunTimeout(Exception):
@@ -96,16 +131,17 @@ def run_one(df: DataFrame, dataset: str, algorithm: str = "levelwise", sampling:
     search, sampling, warning = configured(algorithm, sampling)
     row = RunResult(dataset, CONFIGS[sampling], search, columns=len(df.columns), stats=warning or "N/A")
     found = None
+    memory = MemoryMonitor(df.sparkSession)
     try:
-        with time_limit(df.sparkSession, timeout):
-            found = discover(df, max_error, measure, max_lhs, search=search, cast_all_string=True, sample_rows=max(1, int(sample_param)) if sample_param >= 1 else 200, seed=seed)
+        with memory, time_limit(df.sparkSession, timeout):
+            found = discover(df, max_error, measure, max_lhs, search=search, cast_all_string=True, sampling=STRATEGY_OF[sampling], sample_param=sample_param, seed=seed)
         row.rows, row.fd_count, row.validations, row.execution_ms = found.total_rows, len(found.rows), found.validations, int(found.seconds * 1000)
-        row.memory_mb = memory_mb(df.sparkSession)
-        row.stats = " | ".join(filter(None, [warning, *(f"level {x['level']}: {x['asked']} asked" for x in found.levels)])) or "N/A"
+        row.stats = " | ".join(filter(None, [warning, *(", ".join(f"{k} {v:.6g}" if isinstance(v, float) else f"{k} {v}" for k, v in x.items()) for x in found.levels)])) or "N/A"
     except RunTimeout as e:
         row.status, row.message = "TIMEOUT", str(e)
     except Exception as e:  # noqa: BLE001  a suite goes on with the next run
         row.status, row.message = "FAILURE", f"{type(e).__name__}: {str(e)[:300]}"
+    row.memory_mb = memory.peak_mb
     if results:
         results.write(row)
     return row, found

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .encoding import Encoded
 from .measures import G1, G3, Measure
 from .partitions import grouped
 
-#: Nodes of one job.
-CHUNK = 24
+#: Nodes of one job, and jobs side by side.
+CHUNK, AT_ONCE = 24, 4
 
 
 @dataclass(frozen=True)
@@ -32,9 +34,22 @@ class Found:
     violating_pairs: int
     lhs_groups: int
     node_groups: int
+    #: The numerator of the measure that was asked for, if neither of those two.
+    violations: float | None = None
 
+    def error(self, measure: Measure, n: int) -> float:
+        base = measure.base(n)
+        number = self.removals if measure is G3 else self.violating_pairs if measure is G1 else self.violations
+        return number / base if base else 0.0
 
-def level_plan(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None) -> tuple[DataFrame, list[tuple[str, ...]]]:
+
+def _sums(measure: Measure | None) -> list:
+    s, m, q = F.col("s"), F.col("m"), F.col("q")
+    own = F.lit(None).cast("double") if measure in (None, G3, G1) else F.sum(measure.group(s, m, q)).cast("double")
+    return [F.sum(G3.group(s, m, q)).cast("long").alias("removals"), F.sum(G1.group(s, m, q)).cast("long").alias("violating_pairs"), F.count("*").alias("lhs_groups"), F.sum("d").cast("long").alias("node_groups"), own.alias("violations")]
+
+
+def level_plan(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None, measure: Measure | None = None) -> tuple[DataFrame, list[tuple[str, ...]]]:
     """The plan for some candidates with non-empty left-hand sides: a row for each (node, rhs), and the nodes' columns."""
     every = sorted({c for x, a in candidates for c in (*x, a)})
     asked: dict[tuple[str, ...], list[str]] = {}
@@ -49,19 +64,14 @@ def level_plan(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], weigh
     spread = groups.withColumn("__rhs", F.explode(wanted))
     rest = [F.when(F.col("__rhs") != i, F.col(f"`{c}`")).alias(f"__x{i}") for c, i in number.items()]
     keys = spread.select(F.col("__node").alias("node"), "__rhs", F.col("__c").alias("c"), *rest)
-    s, m, q, c = F.col("s"), F.col("m"), F.col("q"), F.col("c")
+    c = F.col("c")
     per = keys.groupBy("node", "__rhs", *[f"__x{i}" for i in number.values()]).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"), F.count("*").alias("d"))
-    out = per.groupBy("node", "__rhs").agg(
-        F.sum(G3.group(s, m, q)).cast("long").alias("removals"),
-        F.sum(G1.group(s, m, q)).cast("long").alias("violating_pairs"),
-        F.count("*").alias("lhs_groups"),
-        F.sum("d").cast("long").alias("node_groups"),
-    )
+    out = per.groupBy("node", "__rhs").agg(*_sums(measure))
     rhs = F.element_at(F.array(*map(F.lit, every)), F.col("__rhs") + 1)
-    return out.select("node", rhs.alias("rhs"), "removals", "violating_pairs", "lhs_groups", "node_groups"), nodes
+    return out.select("node", rhs.alias("rhs"), "removals", "violating_pairs", "lhs_groups", "node_groups", "violations"), nodes
 
 
-def packed_plan(table: Encoded, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None) -> tuple[DataFrame, list[tuple[str, ...]]]:
+def packed_plan(table: Encoded, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None, measure: Measure | None = None) -> tuple[DataFrame, list[tuple[str, ...]]]:
     """level_plan() over codes: a node's key is one BIGINT, and blanking out A is a bit mask."""
     asked: dict[tuple[str, ...], list[str]] = {}
     for x, a in candidates:
@@ -75,14 +85,9 @@ def packed_plan(table: Encoded, candidates: Sequence[tuple[frozenset, str]], wei
     wanted = [[{"rhs": every.index(a), "mask": m[a]} for a in asked[n]] for n, m in zip(nodes, masks, strict=True)]
     rows = F.from_json(F.lit(json.dumps(wanted)), "array<array<struct<rhs:int,mask:bigint>>>")
     each = groups.select("node", "key", "c", F.inline(F.element_at(rows, F.col("node") + 1)))
-    s, m, q, c = F.col("s"), F.col("m"), F.col("q"), F.col("c")
+    c = F.col("c")
     per = each.groupBy("node", "rhs", F.col("key").bitwiseAND(F.col("mask")).alias("x")).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"), F.count("*").alias("d"))
-    out = per.groupBy("node", "rhs").agg(
-        F.sum(G3.group(s, m, q)).cast("long").alias("removals"),
-        F.sum(G1.group(s, m, q)).cast("long").alias("violating_pairs"),
-        F.count("*").alias("lhs_groups"),
-        F.sum("d").cast("long").alias("node_groups"),
-    )
+    out = per.groupBy("node", "rhs").agg(*_sums(measure))
     return out.withColumn("rhs", F.element_at(F.array(*map(F.lit, every)), F.col("rhs") + 1)), nodes
 
 
@@ -95,8 +100,8 @@ def chunks(candidates: Iterable[tuple[frozenset, str]], size: int = CHUNK) -> li
     return [[c for n in nodes[i : i + size] for c in by_node[n]] for i in range(0, len(nodes), size)]
 
 
-def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, str]], weight: str | None = None, chunk: int = CHUNK) -> dict[tuple[frozenset, str], Found]:
-    """The exact figures of all candidates. As many rows as candidates come to the driver."""
+def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, str]], weight: str | None = None, chunk: int = CHUNK, measure: Measure | None = None) -> dict[tuple[frozenset, str], Found]:
+    """The exact figures of all candidates, chunks side by side. As many rows as candidates come to the driver."""
     out = {}
     candidates = list(candidates)
     if isinstance(table, Encoded):
@@ -105,13 +110,22 @@ def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, s
         parts = [(packed_plan, table, p) for p in chunks(packed, chunk)] + [(level_plan, table.data, p) for p in chunks(wide, chunk)]
     else:
         parts = [(level_plan, table, p) for p in chunks(candidates, chunk)]
-    for make, data, part in parts:
-        plan, nodes = make(data, part, weight)
-        for r in plan.collect():
-            x = frozenset(nodes[r["node"]]) - {r["rhs"]}
-            out[x, r["rhs"]] = Found(x, r["rhs"], r["removals"], r["violating_pairs"], r["lhs_groups"], r["node_groups"])
-        for x, a in part:  # an empty table has no groups
-            out.setdefault((x, a), Found(x, a, 0, 0, 0, 0))
+
+    def asked(part: tuple) -> list[Found]:
+        make, data, wanted = part
+        plan, nodes = make(data, wanted, weight, measure)
+        return [Found(frozenset(nodes[r["node"]]) - {r["rhs"]}, r["rhs"], r["removals"], r["violating_pairs"], r["lhs_groups"], r["node_groups"], r["violations"]) for r in plan.collect()]
+
+    spark = (table.data if isinstance(table, Encoded) else table).sparkSession
+    if len(parts) < 2:
+        found = map(asked, parts)
+    else:  # the threads' jobs belong to the caller's job group
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            found = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(asked), p) for p in parts]]
+    for rows in found:
+        out.update({(f.lhs, f.rhs): f for f in rows})
+    for x, a in candidates:  # an empty table has no groups
+        out.setdefault((x, a), Found(x, a, 0, 0, 0, 0, 0.0))
     return out
 
 
@@ -123,6 +137,8 @@ def level_errors(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], tot
         names = F.array(*[F.lit(",".join(n)) for n in nodes])
         lhs = F.array_join(F.array_remove(F.split(F.element_at(names, F.col("node") + 1), ","), F.col("rhs")), ",")
         num = {"g3": F.col("removals"), "g1": F.col("violating_pairs")}
+        if unknown := [m.name for m in measures if m.name not in num]:
+            raise ValueError(f"evaluate() asks for measures of one's own, one at a time: {', '.join(unknown)}")
         cols = [(num[m.name].cast("double") / F.lit(float(m.base(total_rows))) if m.base(total_rows) else F.lit(0.0)).alias(m.name) for m in measures]
         rows = plan.select(lhs.alias("lhs"), "rhs", "removals", "violating_pairs", *cols)
         out = rows if out is None else out.unionByName(rows)

@@ -8,7 +8,8 @@ g1  sum over x of c(x)(c(x) - 1) - sum over a of c(x, a)(c(x, a) - 1), over n (n
 For the empty X both are measures of A's duplication instead: sum of c(a) - 1 over n - 1, and the agreeing pairs
 sum of c(a)(c(a) - 1) over n (n - 1). Numerators are BIGINT and divided once.
 
-A measure is a plug-in: its numerator is a Column over the sums of a group (see Measure), so all run in one job.
+A measure is a plug-in: its numerator is a Column over the sums of a group (see Measure), so all run in one job, the
+search's included.
 """
 
 from __future__ import annotations
@@ -25,16 +26,22 @@ from .partitions import check_columns
 @dataclass(frozen=True)
 class Measure:
     """group: the violations of an X group, from s (its rows), m (its most frequent A) and q (sum of c(c - 1) over A).
-    alone: the same for the groups of A when X is empty, from s. base: the denominator for n rows."""
+    alone: the same for the groups of A when X is empty, from s. base: the denominator for n rows.
+
+    A search needs a group with one A (m = s) to have no violations, and groups that are split to have no more than
+    before. grows: whether rows that are added never take violations away, so that a part of a table can reject.
+    sampled: whether estimates come from samples; if not, they are exact."""
 
     name: str
     group: Callable[[Column, Column, Column], Column]
     alone: Callable[[Column], Column]
     base: Callable[[int], int]
+    grows: bool = False
+    sampled: bool = True
 
 
-G3 = Measure("g3", lambda s, m, q: s - m, lambda s: s - 1, lambda n: max(0, n - 1))
-G1 = Measure("g1", lambda s, m, q: s * (s - 1) - q, lambda s: s * (s - 1), lambda n: n * (n - 1))
+G3 = Measure("g3", lambda s, m, q: s - m, lambda s: s - 1, lambda n: max(0, n - 1), grows=True)
+G1 = Measure("g1", lambda s, m, q: s * (s - 1) - q, lambda s: s * (s - 1), lambda n: n * (n - 1), grows=True, sampled=False)
 MEASURES: dict[str, Measure] = {"g3": G3, "g1": G1}
 
 
@@ -82,7 +89,16 @@ def errors(df: DataFrame, lhs: Sequence[str], rhs: str, weight: str | None = Non
 
 
 def error(df: DataFrame, lhs: Sequence[str], rhs: str, measure: str | Measure = "g3") -> float:
-    return errors(df, lhs, rhs).first()[measure_named(measure).name]
+    of = measure_named(measure)
+    s, m, q = F.col("__s"), F.col("__m"), F.col("__q")
+    if lhs:
+        groups, violations = by_value(df, lhs, rhs), of.group(s, m, q)
+    else:
+        check_columns(df, [rhs])
+        groups, violations = df.groupBy(rhs).agg(F.count("*").alias("__s")), of.alone(s)
+    r = groups.agg(F.sum(violations).alias("v"), F.coalesce(F.sum(s), F.lit(0)).alias("n")).first()
+    base = of.base(r["n"])
+    return float(r["v"] or 0) / base if base else 0.0
 
 
 def simple_measure(lhs: Sequence[str], n_columns: int) -> float:

@@ -181,12 +181,12 @@ def _even(w: DataFrame, columns: Sequence[str], m: int, k: int, block_rows: int
     return placed.groupBy("__block").applyInArrow(split, schema)
 
 
-def sample_neyman(df: DataFrame, id_col: str, lhs: Sequence[str], rhs: str, param: float = 200, seed: int = SEED, total_rows: int | None = None) -> Sample:
-    """Allocated to the clusters of the base column by size and pilot variance."""
+def sample_neyman(df: DataFrame, id_col: str, lhs: Sequence[str], rhs: str, param: float = 200, seed: int = SEED, total_rows: int | None = None, base: str | None = None) -> Sample:
+    """Allocated to the clusters of the base column by size and pilot variance. base: that column, if it is known."""
     check_columns(df, [*lhs, rhs])
     n = df.count() if total_rows is None else total_rows
     m = sample_size(n, param)
-    base = base_column(df, list(lhs))
+    base = base or base_column(df, list(lhs))
     total = partition(df, [base]).filter("cluster_size > 1").agg(F.coalesce(F.sum("cluster_size"), F.lit(0))).first()[0]
     rows = _with_clusters(df, [base])
     info = {"strategy": "neyman", "asked": m, "base": base, "clustered_rows": total}
@@ -216,22 +216,132 @@ def estimated_violations(rows: DataFrame, lhs: Sequence[str], rhs: str, measure:
     return per.agg(F.coalesce(F.sum(measure_named(measure).group(s, m, q)), F.lit(0)).cast("long").alias("violations"), F.coalesce(F.sum(s), F.lit(0)).cast("long").alias("rows_used"))
 
 
-def estimate_error(df: DataFrame, id_col: str, lhs: Sequence[str], rhs: str, strategy: str = "focused", param: float = 200, seed: int = SEED) -> DataFrame:
+def _scaled(violations: float, n: int, m: int, measure: Measure) -> float:
+    """Violations in a sample of m of n rows, as an error of the table."""
+    base = measure.base(n)
+    return violations * (n / m) / base if m and base else 0.0
+
+
+def estimate_error(df: DataFrame, id_col: str, lhs: Sequence[str], rhs: str, strategy: str | Strategy = "focused", param: float = 200, seed: int = SEED) -> DataFrame:
     """One row: violations in the sample, rows_used, sample_size and g3, the violations scaled by n / m over n - 1 (0 for
-    an empty sample). Strategy "none" is exact."""
+    an empty sample). Strategy "none" is exact. For an empty left-hand side all rows are one cluster, so every named
+    strategy draws at random, and the estimate is the share of sampled rows that don't have the most frequent value."""
     from .measures import errors
 
-    if strategy not in STRATEGIES:
-        raise ValueError(f"no sampling named {strategy}; there are {', '.join(STRATEGIES)}")
-    draw = STRATEGIES[strategy]
+    draw = drawn_by(strategy)
     if draw is None:
         exact = errors(df, lhs, rhs)
         return exact.select(F.col("removals").alias("violations"), F.col("total_rows").alias("rows_used"), F.col("total_rows").alias("sample_size"), "g3")
     if not lhs:
-        raise ValueError("a sample needs a left-hand side")
+        draw = sample_random if strategy in STRATEGIES else draw
     sample = draw(df, id_col, lhs, rhs, param, seed)
     rows = without_lone_values(sample.rows, df, lhs)
     found = estimated_violations(rows, lhs, rhs)
     n, m = sample.total_rows, sample.size
     scaled = F.col("violations").cast("double") * F.lit(float(n)) / F.lit(float(max(1, m))) / F.lit(float(n - 1)) if n > 1 and m else F.lit(0.0)
     return found.select("violations", "rows_used", F.lit(m).cast("long").alias("sample_size"), scaled.alias("g3"))
+
+
+def drawn_by(strategy: str | Strategy) -> Strategy | None:
+    if callable(strategy):
+        return strategy
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no sampling named {strategy}; there are {', '.join(STRATEGIES)}")
+    return STRATEGIES[strategy]
+
+
+class Estimator:
+    """Estimated errors of many candidates of one table by a sampling strategy, other than "none".
+
+    A sample is drawn once for what it depends on: the random one for the table, the focused one for a left-hand side, the
+    Neyman one for its base column and the right-hand side, a strategy of one's own for the candidate. Candidates are
+    estimated side by side, MOST in one job."""
+
+    MOST = 8
+
+    def __init__(self, rows: DataFrame, id_col: str, columns: Sequence[str], strategy: str | Strategy, param: float, seed: int, measure: Measure, total_rows: int):
+        self.rows, self.id_col, self.columns, self.name = rows, id_col, list(columns), strategy
+        self.draw, self.param, self.seed, self.measure, self.n = drawn_by(strategy), param, seed, measure, total_rows
+        self.samples: dict[tuple, Sample] = {}
+        self.common: dict[str, DataFrame] = {}
+        self.sizes: dict[str, int] | None = None
+
+    def _base(self, x: frozenset) -> str:
+        if self.sizes is None:
+            from .partitions import statistics
+
+            self.sizes = {r["columns"]: r["partition_size"] for r in statistics(self.rows, [[c] for c in self.columns]).collect()}
+        return min(sorted(x, key=self.columns.index), key=self.sizes.__getitem__)
+
+    def _sample(self, x: frozenset, a: str) -> Sample:
+        """With a column __lone_<c> for each column c: whether the row's value stands once in the table."""
+        base = self._base(x) if self.name == "neyman" else None
+        key = () if self.name == "random" else (x,) if self.name == "focused" else (base, a) if base else (x, a)
+        if key not in self.samples:
+            more = {"base": base} if base else {}
+            drawn = self.draw(self.rows, self.id_col, sorted(x, key=self.columns.index), a, self.param, self.seed, self.n, **more)
+            rows = drawn.rows
+            for c in self.columns:
+                if c not in self.common:
+                    values = self.rows.groupBy(f"`{c}`").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col(f"`{c}`").alias("__v"), F.lit(False).alias("__lone"))
+                    self.common[c] = values.persist()
+                rows = rows.join(self.common[c], F.col(f"`{c}`").eqNullSafe(F.col("__v")), "left").withColumn(f"__lone_{c}", F.coalesce("__lone", F.lit(True))).drop("__v", "__lone")
+            self.samples[key] = Sample(rows.persist(), drawn.size, drawn.total_rows, drawn.info)
+        return self.samples[key]
+
+    def errors(self, asked: Iterable[tuple[frozenset, str]]) -> dict[tuple[frozenset, str], float]:
+        asked = list(asked)
+        out = {}
+        for at in range(0, len(asked), self.MOST):
+            part, union = asked[at : at + self.MOST], None
+            for i, (x, a) in enumerate(part):
+                rows = self._sample(x, a).rows
+                for c in x:
+                    rows = rows.filter(~F.col(f"`__lone_{c}`"))
+                one = estimated_violations(rows, sorted(x), a, self.measure).select(F.lit(i).alias("i"), F.col("violations").cast("double").alias("v"))
+                union = one if union is None else union.unionByName(one)
+            for r in union.collect():
+                x, a = part[r["i"]]
+                out[x, a] = _scaled(r["v"], self.n, self._sample(x, a).size, self.measure)
+        return out
+
+    def close(self) -> None:
+        for df in (*(s.rows for s in self.samples.values()), *self.common.values()):
+            df.unpersist()
+
+
+class SmallEstimator:
+    """The same for a random sample that is small enough for the driver (MOST_ROWS): counted here, without jobs."""
+
+    MOST_ROWS = 2000
+
+    def __init__(self, rows: DataFrame, id_col: str, columns: Sequence[str], param: float, seed: int, measure: Measure, total_rows: int):
+        self.columns, self.measure, self.n = list(columns), measure, total_rows
+        sample = sample_random(rows, id_col, param=param, seed=seed, total_rows=total_rows)
+        self.size = sample.size
+        hashes = [F.xxhash64(F.col(f"`{c}`")) for c in columns]
+        drawn = [tuple(r) for r in sample.rows.select(*[F.col(f"`{c}`") for c in columns], *hashes).collect()]
+        k = len(self.columns)
+        self.sample = [r[:k] for r in drawn]
+        # whether a sampled value stands once in the table: one scan, for all columns, which values pass by their hash
+        held = [h.isin(sorted({r[k + i] for r in drawn})) for i, h in enumerate(hashes)]
+        tally = F.filter(F.array(*[F.when(x, F.struct(F.lit(i).alias("i"), h.alias("h"))) for i, (h, x) in enumerate(zip(hashes, held, strict=True))]), lambda x: x.isNotNull())
+        counted = rows.select(F.inline(tally)).groupBy("i", "h").agg(F.count("*").alias("n")).filter("n = 1")
+        lone = {(r["i"], r["h"]) for r in counted.collect()} if drawn else set()
+        self.lone = [tuple((i, r[k + i]) in lone for i in range(k)) for r in drawn]
+
+    def errors(self, asked: Iterable[tuple[frozenset, str]]) -> dict[tuple[frozenset, str], float]:
+        return {(x, a): self._error(x, a) for x, a in asked}
+
+    def _error(self, x: frozenset, a: str) -> float:
+        key, at = [self.columns.index(c) for c in sorted(x)], self.columns.index(a)
+        counts: dict[tuple, dict] = {}
+        for r, lone in zip(self.sample, self.lone, strict=True):
+            if not any(lone[i] for i in key):
+                group = counts.setdefault(tuple(repr(r[i]) for i in key), {})
+                group[repr(r[at])] = group.get(repr(r[at]), 0) + 1
+        total = sum(self.measure.group(sum(g.values()), max(g.values()), sum(c * (c - 1) for c in g.values())) for g in counts.values())
+        return _scaled(total, self.n, self.size, self.measure)
+
+    def close(self) -> None:
+        pass

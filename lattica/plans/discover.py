@@ -7,10 +7,12 @@ levelwise   Level k asks every X of k columns that has no valid proper subset; a
             its distinct counts decide it. Violations only grow with rows, so what a quarter of a large table already
             rejects is rejected, exactly; only the rest is asked of the whole table.
 bestfirst   For each A, dualise and advance: the minimal sets that no known invalid set contains are tested; an invalid
-            one is grown to a maximal invalid set along the largest errors, estimated on a sample first; the search ends
-            when all of them are valid. It asks little where valid sets are large.
+            one is grown to a maximal invalid set along the largest errors, as a sample estimates them; the search ends
+            when all of them are valid. It asks little where valid sets are large. Several steps of growth are asked at
+            once, along the estimates.
 
-An estimate only orders the search, it never decides.
+An estimate only orders the search, it never decides. sampling names how rows are drawn for it ("random", "focused",
+"neyman", or a strategy of one's own); "none" estimates by exact errors.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import types as T
 from ..functions.columnsets import MaximalFamily, MinimalFamily, indices, mask_of, minimal_hitting_sets
 from ..operators.encoding import Encoded, encoded
 from ..operators.levels import CHUNK, Found, evaluate
-from ..operators.measures import Measure, measure_named
+from ..operators.measures import G1, G3, Measure, measure_named
 from ..operators.partitions import check_columns
+from ..operators.sampling import SEED, Estimator, SmallEstimator, Strategy, drawn_by, sample_size
 
 RESULT = T.StructType(
     [
@@ -101,6 +104,14 @@ class Profile:
             part = F.pmod(F.xxhash64(*[f"`{c}`" for c in self.columns]), F.lit(self.THIN)) == 0
             self.thin = Encoded(self.data.filter(part), self.encoded.bits)
 
+    def rows(self, id_col: str) -> DataFrame:
+        """Each row of the table, with a number that only equal rows share: they are interchangeable in a sample."""
+        data = self.data
+        if self.weight:
+            data = data.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(self.weight))))
+        number = F.xxhash64(*[F.col(f"`{c}`") for c in self.columns], *([F.col("__copy")] if self.weight else []))
+        return data.select(*[F.col(f"`{c}`") for c in self.columns], number.alias(id_col))
+
     def close(self) -> None:
         self.data.unpersist()
 
@@ -116,12 +127,6 @@ def _row(found: Found, error: float) -> tuple:
     return (",".join(cols), cols, found.rhs, error, found.removals, found.violating_pairs)
 
 
-def _error(found: Found, measure: Measure, n: int) -> float:
-    base = measure.base(n)
-    number = {"g3": found.removals, "g1": found.violating_pairs}[measure.name]
-    return number / base if base else 0.0
-
-
 def _check(eps: float, max_lhs: int | None) -> None:
     if not 0 <= eps <= 1:
         raise ValueError("epsilon must lie in 0 to 1")
@@ -129,9 +134,12 @@ def _check(eps: float, max_lhs: int | None) -> None:
         raise ValueError("max_lhs must be at least 1")
 
 
-def discover(df: DataFrame, eps: float = 0.05, measure: str | Measure = "g3", max_lhs: int | None = None, columns: Sequence[str] | None = None, rhs: Sequence[str] | None = None, search: str = "levelwise", cast_all_string: bool = False, chunk: int = CHUNK, sample_rows: int = 200, seed: int = 114514) -> Discovery:
-    """All minimal dependencies with at most max_lhs columns on the left and a right-hand side among rhs."""
+def discover(df: DataFrame, eps: float = 0.05, measure: str | Measure = "g3", max_lhs: int | None = None, columns: Sequence[str] | None = None, rhs: Sequence[str] | None = None, search: str = "levelwise", cast_all_string: bool = False, chunk: int = CHUNK, sampling: str | Strategy = "random", sample_param: float = 200, seed: int = SEED) -> Discovery:
+    """All minimal dependencies with at most max_lhs columns on the left and a right-hand side among rhs. sampling and
+    sample_param (rows, or under 1 a share) hold for the best-first search."""
     _check(eps, max_lhs)
+    drawn_by(sampling)
+    sample_size(1, sample_param)
     if search not in SEARCHES:
         raise ValueError(f"no search named {search}; there are {', '.join(SEARCHES)}")
     began = time.perf_counter()
@@ -140,12 +148,12 @@ def discover(df: DataFrame, eps: float = 0.05, measure: str | Measure = "g3", ma
         if not set(targets) <= set(profile.columns):
             raise ValueError("right-hand sides must be among the columns")
         limit = min(max_lhs or len(profile.columns), max(0, len(profile.columns) - 1))
-        found = SEARCHES[search](profile, eps, measure_named(measure), limit, targets, chunk, sample_rows, seed)
+        found = SEARCHES[search](profile, eps, measure_named(measure), limit, targets, chunk, (sampling, sample_param, seed))
     found.seconds = time.perf_counter() - began
     return found
 
 
-def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targets: list[str], chunk: int, sample_rows: int, seed: int) -> Discovery:
+def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targets: list[str], chunk: int, drawing: tuple) -> Discovery:
     n, columns = profile.total_rows, profile.columns
     valid = {a: MinimalFamily() for a in targets}
     out = Discovery([], 0, 0.0, n)
@@ -158,23 +166,23 @@ def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targe
             for x in open_sets[a]:
                 d = groups.get(x)
                 if d is not None and d == n:  # a key determines everything
-                    known[x, a] = Found(x, a, 0, 0, d, d)
+                    known[x, a] = Found(x, a, 0, 0, d, d, 0.0)
                 elif not _hopeless(groups, x, a, measure, eps, n):
                     asked.append((x, a))
                 # else: certainly over epsilon, and stays open for its supersets
         first = len(asked)
-        if profile.thin and asked:
+        if profile.thin and asked and measure.grows:
             # where X may have as many values as the table rows, a part of them would show few violations
             low = [c for c in asked if sum(profile.thin.bits[x] for x in c[0]) < math.log2(n)]
-            look = evaluate(profile.thin, low, profile.weight, chunk)
-            asked = [c for c in asked if c not in look or _error(look[c], measure, n) <= eps]
-        results = evaluate(profile.table, asked, profile.weight, chunk) | known
+            look = evaluate(profile.thin, low, profile.weight, chunk, measure)
+            asked = [c for c in asked if c not in look or look[c].error(measure, n) <= eps]
+        results = evaluate(profile.table, asked, profile.weight, chunk, measure) | known
         out.validations += len(asked)
         out.levels.append({"level": size, "asked": len(asked), "known": len(known), "rejected early": first - len(asked)})
         for (x, a), f in results.items():
             groups[x] = f.lhs_groups
             groups[x | {a}] = f.node_groups
-            e = _error(f, measure, n)
+            e = f.error(measure, n)
             if e <= eps:
                 valid[a].add(mask_of(columns.index(c) for c in x))
                 open_sets[a].discard(x)
@@ -192,7 +200,7 @@ def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targe
 
 def _hopeless(groups: dict[frozenset, int], x: frozenset, a: str, measure: Measure, eps: float, n: int) -> bool:
     """A group of X with d values of A loses d - 1 rows at least, so removals >= distinct(X u A) - distinct(X)."""
-    if measure.name != "g3" or x not in groups or x | {a} not in groups:
+    if measure is not G3 or x not in groups or x | {a} not in groups:
         return False
     base = measure.base(n)
     return base > 0 and (groups[x | {a}] - groups[x]) / base > eps
@@ -213,91 +221,120 @@ def _next_level(sets: set[frozenset]) -> set[frozenset]:
     return out
 
 
-def _bestfirst(profile: Profile, eps: float, measure: Measure, limit: int, targets: list[str], chunk: int, sample_rows: int, seed: int) -> Discovery:
+#: Steps of growth that one job asks for, for each set that grows.
+AHEAD = 3
+
+
+def _bestfirst(profile: Profile, eps: float, measure: Measure, limit: int, targets: list[str], chunk: int, drawing: tuple) -> Discovery:
     n, columns = profile.total_rows, profile.columns
     number = {c: i for i, c in enumerate(columns)}
     out = Discovery([], 0, 0.0, n)
     memo: dict[tuple[int, str], Found] = {}
-    sampled: dict[tuple[int, str], float] = {}
-    sample = _sample(profile, sample_rows, seed)
-
-    def names(mask: int) -> frozenset:
-        return frozenset(columns[i] for i in indices(mask))
-
-    def validate(asked: set[tuple[int, str]]) -> None:
-        new = [(names(m), a) for m, a in asked if (m, a) not in memo]
-        out.validations += len(new)
-        for (x, a), f in evaluate(profile.table, new, profile.weight, chunk).items():
+    estimated: dict[tuple[int, str], float] = {}
+    names: dict[int, frozenset] = {}
+    estimator = _estimator(profile, measure, *drawing)
+
+    def named(mask: int) -> frozenset:
+        if mask not in names:
+            names[mask] = frozenset(columns[i] for i in indices(mask))
+        return names[mask]
+
+    def exact(asked: set[tuple[int, str]]) -> int:
+        new = [(named(m), a) for m, a in sorted(asked) if (m, a) not in memo]
+        if not new:
+            return 0
+        for (x, a), f in evaluate(profile.table, new, profile.weight, chunk, measure).items():
             memo[mask_of(number[c] for c in x), a] = f
+        return len(new)
 
-    def estimate(mask: int, a: str) -> float:
-        if (mask, a) not in sampled:
-            sampled[mask, a] = _sample_error(sample, names(mask), a, measure)
-        return sampled[mask, a]
+    def estimate(asked: set[tuple[int, str]]) -> None:
+        if estimator is None:
+            exact(asked)
+            estimated.update({k: memo[k].error(measure, n) for k in asked})
+        else:
+            new = [k for k in sorted(asked) if k not in estimated]
+            found = estimator.errors([(named(m), a) for m, a in new])
+            estimated.update({(m, a): found[named(m), a] for m, a in new})
 
     def fine(mask: int, a: str) -> bool:
-        return _error(memo[mask, a], measure, n) <= eps
+        return memo[mask, a].error(measure, n) <= eps
+
+    def best(now: int, a: str, rest: list[int]) -> int:
+        return max(rest, key=lambda i: (estimated[now | 1 << i, a], -i))
+
+    def ahead(climb: dict[tuple[int, str], int], tried: dict[tuple[int, str], int]) -> dict[tuple[int, str], list[int]]:
+        """For each set that grows the columns of its next steps, if all of these are invalid."""
+        paths: dict[tuple[int, str], list[int]] = {k: [] for k in climb}
+        for _ in range(AHEAD):
+            ends = {k: climb[k] | mask_of(paths[k]) for k in climb}
+            rest = {k: [i for i in indices(every[k[1]] & ~ends[k] & ~tried[k])] for k in climb if ends[k].bit_count() < limit}
+            rest = {k: r for k, r in rest.items() if r}
+            if not rest:
+                break
+            estimate({(ends[k] | 1 << i, k[1]) for k, r in rest.items() for i in r})
+            for k, r in rest.items():
+                paths[k].append(best(ends[k], k[1], r))
+        return paths
+
+    def steps(climb: dict[tuple[int, str], int], paths: dict[tuple[int, str], list[int]]) -> set[tuple[int, str]]:
+        return {(climb[k] | mask_of(path[: j + 1]), k[1]) for k, path in paths.items() for j in range(len(path))}
 
     invalid = {a: MaximalFamily() for a in targets}
     every = {a: mask_of(number[c] for c in columns if c != a) for a in targets}
     done: set[str] = set()
-    while len(done) < len(targets):
-        hits = {a: [m for m in minimal_hitting_sets(every[a] & ~x for x in invalid[a]) if m.bit_count() <= limit] if len(invalid[a]) else [1 << i for i in indices(every[a])] for a in targets if a not in done}
-        hits = {a: [m for m in ms if m] for a, ms in hits.items()}
-        validate({(m, a) for a, ms in hits.items() for m in ms})
-        climb: dict[tuple[int, str], int] = {}
-        for a, ms in hits.items():
-            bad = [m for m in ms if not fine(m, a)]
-            if not bad:
-                done.add(a)
-                for m in ms:
-                    out.rows.append(_row(memo[m, a], _error(memo[m, a], measure, n)))
-            for m in bad:
-                climb[m, a] = m
-        # grow each invalid set, all of them a column a round: the column whose estimate stays largest first
-        tried: dict[tuple[int, str], int] = {k: 0 for k in climb}
-        while climb:
-            step = {}
-            for (m, a), now in climb.items():
-                rest = [i for i in indices(every[a] & ~now & ~tried[m, a])]
-                if now.bit_count() >= limit or not rest:
+    try:
+        while len(done) < len(targets):
+            hits = {a: [m for m in minimal_hitting_sets(every[a] & ~x for x in invalid[a]) if m.bit_count() <= limit] if len(invalid[a]) else [1 << i for i in indices(every[a])] for a in targets if a not in done}
+            hits = {a: [m for m in ms if m] for a, ms in hits.items()}
+            # with them the growth of those that the estimates call invalid
+            first = {(m, a): m for a, ms in hits.items() for m in ms}
+            estimate(set(first))
+            guess = {k: m for k, m in first.items() if estimated[k] > eps}
+            out.validations += exact(set(first) | steps(guess, ahead(guess, dict.fromkeys(guess, 0))))
+            climb: dict[tuple[int, str], int] = {}
+            for a, ms in hits.items():
+                bad = [m for m in ms if not fine(m, a)]
+                if not bad:
+                    done.add(a)
+                    for m in ms:
+                        out.rows.append(_row(memo[m, a], memo[m, a].error(measure, n)))
+                for m in bad:
+                    climb[m, a] = m
+            # grow each invalid set, all of them side by side: the column whose estimate stays largest first
+            tried: dict[tuple[int, str], int] = dict.fromkeys(climb, 0)
+            while climb:
+                paths = ahead(climb, tried)
+                for (_, a), now in ((k, climb[k]) for k in climb if not paths[k]):
                     invalid[a].add(now)
-                    continue
-                best = max(rest, key=lambda i, now=now, a=a: (estimate(now | 1 << i, a), -i))
-                step[m, a] = best
-            validate({(climb[k] | 1 << i, k[1]) for k, i in step.items()})
-            nxt = {}
-            for k, i in step.items():
-                grown = climb[k] | 1 << i
-                if fine(grown, k[1]):
-                    tried[k] |= 1 << i  # and so is every larger set with it
-                    nxt[k] = climb[k]
-                else:
-                    nxt[k] = grown
-            climb = nxt
+                out.validations += exact(steps(climb, paths))
+                grown = {}
+                for k, path in paths.items():
+                    now = climb[k]
+                    for i in path:
+                        if fine(now | 1 << i, k[1]):
+                            tried[k] |= 1 << i  # and so is every larger set with it
+                            break
+                        now |= 1 << i
+                    if path:
+                        grown[k] = now
+                climb = grown
+    finally:
+        if estimator is not None:
+            estimator.close()
     out.rows.sort(key=lambda r: (r[2], len(r[1]), r[0]))
+    out.levels.append({"level": 0, "asked": out.validations, "estimated": len(estimated), "mean estimate": math.fsum(estimated.values()) / max(1, len(estimated))})
     return out
 
 
-def _sample(profile: Profile, rows: int, seed: int) -> list[dict]:
-    """At most `rows` rows by hash order, on the driver."""
-    cols = [F.col(f"`{c}`") for c in profile.columns]
-    order = F.xxhash64(F.lit(seed), *[c.cast("string") for c in cols])
-    return [r.asDict() for r in profile.data.select(*profile.columns).orderBy(order).limit(rows).collect()]
-
-
-def _sample_error(sample: list[dict], x: frozenset, a: str, measure: Measure) -> float:
-    counts: dict[tuple, dict] = {}
-    key = sorted(x)
-    for r in sample:
-        group = counts.setdefault(tuple(map(repr, (r[c] for c in key))), {})
-        group[repr(r[a])] = group.get(repr(r[a]), 0) + 1
-    total = 0
-    for g in counts.values():
-        s = sum(g.values())
-        total += measure.group(s, max(g.values()), sum(c * (c - 1) for c in g.values()))
-    base = measure.base(len(sample))
-    return total / base if base else 0.0
+def _estimator(profile: Profile, measure: Measure, sampling: str | Strategy, param: float, seed: int) -> Estimator | SmallEstimator | None:
+    """None: estimates are exact errors."""
+    if drawn_by(sampling) is None or not measure.sampled or not profile.columns:
+        return None
+    n = profile.total_rows
+    rows = profile.rows("__row")
+    if sampling == "random" and measure in (G3, G1) and sample_size(n, param) <= SmallEstimator.MOST_ROWS:
+        return SmallEstimator(rows, "__row", profile.columns, param, seed, measure, n)
+    return Estimator(rows, "__row", profile.columns, sampling, param, seed, measure, n)
 
 
 SEARCHES: dict[str, Callable[..., Discovery]] = {"levelwise": _levelwise, "bestfirst": _bestfirst}
@@ -305,9 +342,9 @@ SEARCHES: dict[str, Callable[..., Discovery]] = {"levelwise": _levelwise, "bestf
 
 def duplication(df: DataFrame, column: str, measure: str | Measure = "g3") -> float:
     """The measure for an empty left-hand side: how much the column repeats itself. Never part of a discovery."""
-    from ..operators.measures import errors
+    from ..operators.measures import error
 
-    return errors(df, [], column).first()[measure_named(measure).name]
+    return error(df, [], column, measure)
 
 
 __all__ = ["Discovery", "Profile", "RESULT", "SEARCHES", "discover", "duplication"]

@@ -59,13 +59,20 @@ def error_sql(source: str, lhs: Sequence[str], rhs: str) -> str:
 FROM (SELECT coalesce(sum(s), 0) n, coalesce({r}, 0) r, coalesce({p}, 0) p FROM ({inner}))"""
 
 
-def candidates_sql(source: str, candidates: Sequence[tuple[Sequence[str], str]]) -> str:
-    return "\nUNION ALL\n".join(f"SELECT '{','.join(sorted(x))}' lhs, '{a}' rhs, * FROM ({error_sql(source, sorted(x), a)})" for x, a in candidates)
+def g2_sql(source: str, lhs: Sequence[str], rhs: str) -> str:
+    """The same with g2, the share of rows that stand in a violating pair."""
+    x = ", ".join(lhs)
+    return f"""SELECT CAST(sum(s - m) AS BIGINT) removals, CAST(sum(s * (s - 1) - q) AS BIGINT) violating_pairs, CAST(sum(CASE WHEN s > m THEN s ELSE 0 END) AS DOUBLE) / CAST(sum(s) AS DOUBLE) g2
+FROM (SELECT sum(c) s, max(c) m, sum(c * (c - 1)) q FROM (SELECT {x}, {rhs}, count(*) c FROM {source} GROUP BY {x}, {rhs}) GROUP BY {x})"""
+
 
+def candidates_sql(source: str, candidates: Sequence[tuple[Sequence[str], str]], one: Callable = error_sql) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{','.join(sorted(x))}' lhs, '{a}' rhs, * FROM ({one(source, sorted(x), a)})" for x, a in candidates)
 
-def discover_sql(source: str, columns: Sequence[str], eps: float, measure: str, max_lhs: int) -> str:
+
+def discover_sql(source: str, columns: Sequence[str], eps: float, measure: str, max_lhs: int, one: Callable = error_sql) -> str:
     cands = [(x, a) for a in columns for k in range(1, max_lhs + 1) for x in combinations([c for c in columns if c != a], k)]
-    return f"""WITH e AS MATERIALIZED ({candidates_sql(source, cands)}),
+    return f"""WITH e AS MATERIALIZED ({candidates_sql(source, cands, one)}),
 valid AS MATERIALIZED (SELECT *, string_split(lhs, ',') cols FROM e WHERE {measure} <= {eps!r})
 SELECT v.lhs, v.rhs, v.{measure} AS error, v.removals, v.violating_pairs FROM valid v WHERE NOT EXISTS (
   SELECT 1 FROM valid w WHERE w.rhs = v.rhs AND len(w.cols) < len(v.cols) AND list_has_all(v.cols, w.cols))"""
@@ -251,16 +258,17 @@ def _(spark, sf):
 # ---- discovery ------------------------------------------------------------------------------------------------------
 
 
-def _discovery(name: str, source: str, columns: list[str], eps: float, measure: str, max_lhs: int, search: str = "levelwise") -> None:
+def _discovery(name: str, source: str, columns: list[str], eps: float, measure: str, max_lhs: int, search: str = "levelwise", sampling: str = "random", param: float = 200) -> None:
     @query(name, discover_sql(source, columns, eps, measure, max_lhs))
     def _(spark, sf):
-        found = discover(table(spark, sf, source, columns), eps, measure, max_lhs, search=search)
+        found = discover(table(spark, sf, source, columns), eps, measure, max_lhs, search=search, sampling=sampling, sample_param=param)
         return found.to_df(spark).select("lhs", "rhs", "error", "removals", "violating_pairs")
 
 
 _ORDERS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 _LINEITEM = ["l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 _NATION = ["n_nationkey", "n_name", "n_regionkey"]
+_CUSTOMER = ["c_nationkey", "c_mktsegment", "c_acctbal", "c_name"]
 _EVENTS = ["user_id", "event_type", "value", "props"]
 _discovery("discover_g3_orders", "orders", _ORDERS, 0.05, "g3", 3)
 _discovery("discover_g1_part", "part", ["p_name", *_PART], 0.01, "g1", 3)
@@ -269,6 +277,33 @@ _discovery("discover_g3_events", "events", _EVENTS, 0.05, "g3", 3)
 _discovery("discover_max_lhs2_lineitem", "lineitem", [*_LINEITEM, "l_orderkey", "l_linenumber"], 0.05, "g3", 2)
 _discovery("discover_best_first", "orders", _ORDERS, 0.05, "g3", 3, "bestfirst")
 _discovery("discover_best_first_part", "part", ["p_name", *_PART], 0.15, "g3", 4, "bestfirst")
+_discovery("discover_best_first_none", "customer", _CUSTOMER, 0.4, "g3", 2, "bestfirst", "none")
+_discovery("discover_best_first_random", "customer", _CUSTOMER, 0.4, "g3", 2, "bestfirst", "random", 0.1)
+_discovery("discover_best_first_focused", "customer", _CUSTOMER, 0.4, "g3", 2, "bestfirst", "focused")
+_discovery("discover_best_first_neyman", "customer", _CUSTOMER, 0.4, "g3", 2, "bestfirst", "neyman")
+
+#: A measure of one's own: the share of rows that stand in a violating pair.
+G2 = measures.Measure("g2", lambda s, m, q: F.when(s > m, s).otherwise(0), lambda s: F.when(s > 1, s).otherwise(0), lambda n: n, grows=True)
+
+
+@query("discover_own_measure", discover_sql("part", ["p_name", *_PART], 0.9, "g2", 3, g2_sql))
+def _(spark, sf):
+    found = discover(table(spark, sf, "part", ["p_name", *_PART]), 0.9, G2, 3)
+    return found.to_df(spark).select("lhs", "rhs", "error", "removals", "violating_pairs")
+
+
+@query(
+    "sampling_estimates_by_mode",
+    f"""WITH lone AS (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(*) > 1)
+SELECT 'none' AS mode, removals AS violations FROM ({error_sql('customer', ['c_mktsegment'], 'c_nationkey')})
+UNION ALL SELECT 'random', CAST(coalesce(sum(s - t), 0) AS BIGINT) FROM (SELECT sum(c) s, max(c) t FROM (SELECT c_mktsegment, c_nationkey, count(*) c FROM (SELECT * FROM customer ORDER BY {md5_key('c_custkey')}, c_custkey LIMIT 200) WHERE c_mktsegment IN (SELECT * FROM lone) GROUP BY 1, 2) GROUP BY c_mktsegment)""",
+)
+def _(spark, sf):
+    out = None
+    for mode in ("none", "random"):
+        one = sampling.estimate_error(table(spark, sf, "customer"), "c_custkey", ["c_mktsegment"], "c_nationkey", mode).select(F.lit(mode).alias("mode"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- ranking and comparison -----------------------------------------------------------------------------------------
@@ -476,24 +511,20 @@ def _(spark, sf):
 
 @query("csv_roundtrip_profile", error_sql("(SELECT CAST(c_nationkey AS VARCHAR) c_nationkey, c_mktsegment FROM customer)", ["c_nationkey"], "c_mktsegment"))
 def _(spark, sf):
-    import uuid
-
     from ..sources.csv import read_csv
-    from ..sources.shared import shared_dir
+    from ..sources.shared import scratch
 
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     table(spark, sf, "customer").write.option("header", True).csv(path)
     return measures.errors(read_csv(spark, path, delimiter=","), ["c_nationkey"], "c_mktsegment")
 
 
 @query("results_sink_dedup", "SELECT * FROM (VALUES ('orders', 'G3-No-Sampling', 'bestfirst')) t(dataset, config, algorithm)")
 def _(spark, sf):
-    import uuid
-
     from ..sources.results import ResultsTable, RunResult
-    from ..sources.shared import shared_dir
+    from ..sources.shared import scratch
 
-    out = ResultsTable(spark, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}", fmt="parquet")
+    out = ResultsTable(spark, scratch(spark, "results"), fmt="parquet")
     out.write(RunResult("orders", "G3-No-Sampling", "levelwise", fd_count=3))
     out.write_error("orders", "G3-No-Sampling", "bestfirst", "stopped")
     runs = spark.createDataFrame([("orders", "G3-No-Sampling", a) for a in ("levelwise", "bestfirst")], "Dataset string, ConfigName string, Algorithm string")

@@ -98,3 +98,83 @@ def test_large_tables_take_the_same_path(spark, monkeypatch):
             large = discover(df, eps, measure)
             assert large.rows == plain.rows == discover(df, eps, measure, search="bestfirst").rows
     assert sum(x["rejected early"] for x in large.levels) > 0
+
+
+@pytest.mark.parametrize("sampling, param", [("none", 200), ("random", 5), ("random", 0.5), ("focused", 6), ("neyman", 0.7)])
+def test_sampling_never_decides(spark, sampling, param):
+    df = voyages(spark).select("ship", "port", "berth", "cargo")
+    got = discover(df, 0.15, max_lhs=2, search="bestfirst", sampling=sampling, sample_param=param)
+    assert got.rows == discover(df, 0.15, max_lhs=2).rows
+    assert got.levels[-1]["estimated"] > 0
+
+
+def test_exact_estimates_of_g1(spark):
+    df = voyages(spark)
+    assert discover(df, 0.15, "g1", max_lhs=3, search="bestfirst").rows == discover(df, 0.15, "g1", max_lhs=3).rows
+
+
+def test_strategies_of_ones_own(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.operators.sampling import Sample
+
+    asked = []
+
+    def third(df, id_col, lhs, rhs, param, seed, total_rows):
+        asked.append((tuple(lhs), rhs))
+        return Sample(df.filter(F.pmod(F.col(id_col), F.lit(3)) == 0), max(1, total_rows // 3), total_rows)
+
+    df = voyages(spark).select("ship", "port", "berth", "cargo")
+    got = discover(df, 0.05, max_lhs=2, search="bestfirst", sampling=third)
+    assert got.rows == discover(df, 0.05, max_lhs=2).rows and asked and all(rhs not in lhs for lhs, rhs in asked)
+    for bad in ({"sampling": "best"}, {"sample_param": 0}):
+        with pytest.raises(ValueError):
+            discover(df, 0.05, search="bestfirst", **bad)
+
+
+def test_measures_of_ones_own(spark):
+    """The share of X groups that hold more than one A."""
+    from pyspark.sql import functions as F
+
+    from lattica.operators.measures import Measure, error
+
+    mixed = Measure("mixed", lambda s, m, q: F.when(s > m, m).otherwise(0), lambda s: s - 1, lambda n: n)
+    rows, df = cells(VOYAGES), voyages(spark)
+
+    def definition(x, a):
+        groups = {}
+        for r in rows:
+            groups.setdefault(tuple(r[c] for c in x), []).append(r[a])
+        return sum(max(map(g.count, g)) for g in groups.values() if len(set(g)) > 1) / len(rows)
+
+    assert error(df, ["port"], "berth", mixed) == definition((1,), 3) and error(df, [], "port", mixed) == 0.7
+    found = discover(df, 0.3, mixed, max_lhs=2)
+    assert found.rows and found.rows == discover(df, 0.3, mixed, max_lhs=2, search="bestfirst", sampling="random", sample_param=8).rows
+    for _, cols, rhs, e, *_ in found.rows:
+        assert e == definition([df.columns.index(c) for c in cols], df.columns.index(rhs)) <= 0.3
+
+
+def test_estimators_agree(spark):
+    """The driver's estimates equal the distributed ones, and those of estimate_error()."""
+    from pyspark.sql import functions as F
+
+    from lattica.operators import sampling
+    from lattica.operators.measures import G3
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(9), rnd.choice(["a", "b", None]), rnd.randrange(4), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b string, c int, d int").withColumn("id", F.col("d"))
+    asked = [(frozenset(x), a) for x, a in ((("a",), "b"), (("a", "b"), "c"), (("d",), "a"), (("c",), "d"), (("b", "c"), "a"))]
+    small = sampling.SmallEstimator(df, "id", ["a", "b", "c", "d"], 60, 5, G3, 300).errors(asked)
+    whole = sampling.Estimator(df, "id", ["a", "b", "c", "d"], "random", 60, 5, G3, 300)
+    assert small == pytest.approx(whole.errors(asked))
+    whole.close()
+    seen = set()
+    for name in ("random", "focused", "neyman"):
+        e = sampling.Estimator(df, "id", ["a", "b", "c", "d"], name, 60, 5, G3, 300)
+        got = e.errors(asked)
+        seen.add(tuple(got.values()))
+        e.close()
+        for (x, a), v in got.items():
+            assert v == pytest.approx(sampling.estimate_error(df, "id", sorted(x), a, name, 60, 5).first()["g3"])
+    assert len(seen) == 3

@@ -94,3 +94,19 @@ def test_estimates(rows):
     assert (lone["violations"], lone["g3"], lone["rows_used"]) == (0, 0.0, 0)
     with pytest.raises(ValueError):
         sampling.estimate_error(rows, "id", ["b"], "c", "best")
+
+
+def test_estimates_of_an_empty_left_hand_side(rows):
+    drawn = sorted(range(400), key=key)[:50]
+    counts = [sum(i % 3 == k for i in drawn) for k in range(3)]
+    for s in ("random", "focused", "neyman"):
+        got = sampling.estimate_error(rows, "id", [], "c", s, param=50).first()
+        assert (got["violations"], got["rows_used"]) == (50 - max(counts), 50) and got["g3"] == pytest.approx((50 - max(counts)) * 8 / 399)
+    assert sampling.estimate_error(rows, "id", [], "c", "none").first()["g3"] == measures.errors(rows, [], "c").first()["g3"]
+
+
+def test_base_column_of_several(spark):
+    df = spark.createDataFrame([(i, i // 2, i % 9, i if i > 5 else 0, i % 3) for i in range(90)], "id int, pairs int, nines int, few int, c int")
+    assert sampling.base_column(df, ["pairs", "nines", "few"]) == "few" and sampling.base_column(df, ["nines", "pairs"]) == "nines"
+    s = sampling.sample_neyman(df, "id", ["pairs", "few"], "c", param=4)
+    assert s.info["base"] == "few" and all(r["id"] <= 5 for r in s.rows.collect())

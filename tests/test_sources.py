@@ -70,6 +70,12 @@ def test_runs(spark, tmp_path):
     assert row.status == "SUCCESS" and row.fd_count == len(brute_minimal(cells(VOYAGES), 6, 0.05, 0)) and row.config == "G3-No-Sampling" and "NO_SAMPLING" in row.stats
     plan = experiment.run_suite(spark, [path], out, dry_run=True)
     assert len(plan) == 5 and {r.algorithm for r in plan} == {"levelwise", "bestfirst"}
+    stats = {}
+    for mode in experiment.CONFIGS:
+        run, _ = experiment.run_one(csv.read_csv(spark, path).select("port", "berth", "cargo"), path, "pyro", mode, max_error=0.05, sample_param=0.6, max_lhs=2)
+        assert run.status == "SUCCESS" and run.config == experiment.CONFIGS[mode] and run.memory_mb > 0, run.message
+        stats[mode] = run.stats
+    assert "estimated" in stats["RANDOM"] and len({s.rsplit("mean estimate", 1)[1] for s in stats.values()}) > 1  # each mode has its own estimates
     slow, _ = experiment.run_one(csv.read_csv(spark, path), path, "levelwise", timeout=1e-5)
     assert slow.status == "TIMEOUT"
     with pytest.raises(ValueError):
@@ -80,6 +86,18 @@ def test_runs(spark, tmp_path):
     assert experiment.main(args) == 0
 
 
+def test_memory_monitor(spark):
+    seen = []
+    m = experiment.MemoryMonitor(spark, 0.01, lambda level, share: seen.append(level))
+    m.WARNING, m.CRITICAL = 0.0, 2.0
+    with m:
+        spark.range(1000).count()
+    assert m.peak_mb > 0 and 0 < len(m.history) <= 10 and seen == ["warning"]
+    m.CRITICAL = 0.0
+    m.look()
+    assert seen == ["warning", "critical"] and m.level == "critical"
+
+
 def test_stream(spark, tmp_path):
     from lattica.operators.measures import errors
     from lattica.streaming.incremental import watch

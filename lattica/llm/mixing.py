@@ -13,8 +13,10 @@ no single task: sums of hash ranges of some thousand documents first, then a win
 Up to MAX_SOURCES sources are planned on the driver. More of them stay a table: the driver gets how many sources have
 each number of tokens, of which there are less than sqrt(2 * tokens), and finds the exponent from that.
 
-Cases: a null source is a source of its own; null or empty texts have no tokens and take no budget; repeated rows are
-drawn like others; a corpus without tokens or an empty table gives an empty result; other columns pass through.
+Cases: a null source is a source of its own; null or empty texts have no tokens and take no budget; a long text is drawn
+whole, over the budget if it is the last of its source; documents with the same hash of id and text are ordered by these, and
+repeated rows, which are drawn like others, share a range; a corpus without tokens or an empty table gives an empty result;
+other columns pass through, but those named n_tokens, epoch, block or slot, which are replaced.
 """
 
 from __future__ import annotations

@@ -22,8 +22,10 @@ Shingles are told apart by 64 bits of hash until the shards have counted them; t
 numbers, which are shorter to move.
 
 Cases: null texts and those without words have an empty set and link with nothing, equal ones included; a text with
-fewer words than a shingle is one shingle; repeated rows and copies are members of their text's group; a null doc_id
-has a null component if all of its group are null; empty tables give empty results.
+fewer words than a shingle is one shingle; long texts are shingled whole; repeated rows and copies are members of their
+text's group, and of rows that tie for the smallest id one_of_each() keeps one (the first text by MD5); a null doc_id has a
+null component if all of its group are null; empty tables give empty results; other columns are not read by
+jaccard_groups(), and pass through one_of_each() whatever their names.
 """
 
 from __future__ import annotations

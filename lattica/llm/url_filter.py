@@ -9,8 +9,10 @@ regular expression.
 All of it is DataFrame functions. While the index is at most MAX_INDEX_BYTES it is one constant, an array of hash
 buckets, so a lookup is O(1) a token and the filter is a map without any shuffle; larger rule sets are joined by token.
 
-Cases: a null url or one without "://" has empty host and path, no site rule, and verdict allow. Empty tables give
-empty results; repeated rows are judged one by one; other columns are not read.
+Cases: a null url or one without "://" has empty host and path, no site rule, and verdict allow; long urls are judged
+whole; of site rules that fit, the longest decides, of equally long ones the last by their text, then one that blocks;
+repeated rows are judged one by one; empty tables give empty results; other columns pass through, but those named host, path,
+rule or verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, bounded_rows
 
 MAX_INDEX_BYTES = 4 << 20
 _ENTRY = "struct<token:string,regex:string,site:boolean,block:boolean,rule:string>"
@@ -71,6 +73,21 @@ def pattern_rule(text: str) -> Rule:
     return Rule(text, block, False, regex + ("$" if end else ""), tuple(tokens))
 
 
+def rules_of(table: DataFrame, text_col: str = "rule", limit: int = 1_000_000) -> tuple[Rule, ...]:
+    """The rules of a table of texts, one a row: `block host/path` and `allow host/path` are site rules, others patterns;
+    empty ones and those that begin with ! are skipped, equal ones count once. More than limit rows are an error, for rules
+    are compiled on the driver."""
+    texts = sorted({(r[0] or "").strip() for r in bounded_rows(table.select(text_col), limit, "rules")})
+    out = []
+    for text in texts:
+        site = re.fullmatch(r"(block|allow)\s+([^/\s]+)(/\S*)?", text)
+        if site:
+            out.append(site_rule(site[1], site[2].lower(), site[3] or ""))
+        elif text and not text.startswith("!"):
+            out.append(pattern_rule(text))
+    return tuple(out)
+
+
 #: The site rules of the query, then patterns against the usual spam and tracking hosts.
 SITE_RULES = (
     site_rule("block", "com", "/en/"),

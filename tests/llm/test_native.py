@@ -48,6 +48,20 @@ def test_rule_keys():
     assert keys == {"||rare.common^": "rare", "*ab*": None, "|http://x/|": "x"}
 
 
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("block org/es/",), ("allow Example.org/es/9",), ("! a remark",), ("||spam-farm.",), ("||spam-farm.",), (None,), ("",)], "rule string")
+    rules = url_filter.rules_of(table)
+    assert len(rules) == 3
+    urls = ["http://a.org/es/1", "http://a.example.org/es/99", "http://x.spam-farm.net/", "http://x.net/"]
+    df = spark.createDataFrame([(i, u, "mine", "mine") for i, u in enumerate(urls)] * 2, "page_id long, url string, verdict string, other string")
+    out = url_filter.filter_urls(df, rules)
+    assert sorted(out.columns) == ["host", "other", "page_id", "path", "rule", "url", "verdict"]
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in out.collect())
+    assert got == sorted([(0, "org/es/", "block"), (1, "example.org/es/9", "allow"), (2, None, "block"), (3, None, "allow")] * 2, key=str)
+    with pytest.raises(ValueError):
+        url_filter.rules_of(table, limit=3)
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed string")
 

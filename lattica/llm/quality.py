@@ -79,13 +79,30 @@ class WordVectors:
             token = w if w in self.common else shape(w)
             of[w] = number.setdefault(token, len(number))
         index = np.stack([index_vector(t) for t in number]) if number else np.zeros((0, DIM), np.float32)
-        context = np.zeros_like(index)
+        # neighbours' vectors have a few ones and minus ones each: those are counted, some texts at a time
+        place = np.nonzero(index)[1].reshape(-1, NONZERO)
+        sign = np.sign(index[np.arange(len(index))[:, None], place])
+        sums = np.zeros(index.size)
+        at: list[np.ndarray] = []
+        near: list[np.ndarray] = []
+
+        def add() -> None:
+            if at:
+                row, col = np.concatenate(at), np.concatenate(near)
+                np.add(sums, np.bincount((row[:, None] * DIM + place[col]).ravel(), weights=sign[col].ravel(), minlength=len(sums)), out=sums)
+                at.clear()
+                near.clear()
+
         for t in texts():
             ids = np.array([of[w] for w in t.split()], np.int64)
             for step in range(1, WINDOW + 1):
                 if len(ids) > step:
-                    np.add.at(context, ids[step:], index[ids[:-step]])
-                    np.add.at(context, ids[:-step], index[ids[step:]])
+                    at.extend((ids[step:], ids[:-step]))
+                    near.extend((ids[:-step], ids[step:]))
+            if sum(map(len, at)) >= 1 << 19:
+                add()
+        add()
+        context = sums.reshape(index.shape).astype(np.float32)
         size = np.linalg.norm(context, axis=1, keepdims=True)
         self.vectors = dict(zip(number, index + context / np.maximum(size, 1e-9), strict=True))
 

@@ -44,6 +44,8 @@ ORDER = 3
 #: The prior's weight.
 PRIOR = 32.0
 KEY_BITS = 26
+#: A block's n-grams and its part of the automaton take some forty times its bytes.
+BLOCK_BYTES = 8 << 20
 #: Words of a text that are read in one piece.
 PIECE = 256
 
@@ -297,7 +299,7 @@ def lm_scores(docs: DataFrame, train: Column, order: int = ORDER, prior: float =
         raise ValueError("the order must be at least one and the prior's weight above zero")
     sums = docs.agg(F.sum(F.octet_length(text_col)).alias("size"), F.count("*").alias("rows")).first()
     size = sums["size"] or 0
-    n = B.block_count(size, block_bytes or B.BLOCK_BYTES)
+    n = B.block_count(size, block_bytes or BLOCK_BYTES)
     bits = key_bits(size // 2 + 2 * sums["rows"], order)  # a word and the space after it have two bytes at least
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     same = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit(" ")).cast("binary"), F.lit("\n").cast("binary"), F.col("text"))))

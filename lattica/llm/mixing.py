@@ -140,14 +140,14 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy_ratio: float
     same = F.col(source_col).eqNullSafe(F.col("__mx_source"))
     if len(few) <= max_sources:
         plan = spark.createDataFrame(
-            [(s, t, b, max(1, 1 << math.ceil(math.log2(max(1, n / range_rows)))), math.ceil(b / t - 1e-12)) for s, t, n, _, b in mix.sources if t and b > 0],
-            f"__mx_source {kind}, __mx_tokens long, __mx_budget double, __mx_ranges long, __mx_epochs int",
+            [(i, s, t, b, max(1, 1 << math.ceil(math.log2(max(1, n / range_rows)))), math.ceil(b / t - 1e-12)) for i, (s, t, n, _, b) in enumerate(mix.sources) if t and b > 0],
+            f"__mx_id long, __mx_source {kind}, __mx_tokens long, __mx_budget double, __mx_ranges long, __mx_epochs int",
         )
         here = counted.join(F.broadcast(plan), same)  # at most max_sources rows
     else:
         ranges = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / range_rows)))).cast("long")
         epochs = F.ceil(F.col("b") / F.col("t") - 1e-12).cast("int")
-        plan = stored(given.filter("t > 0 AND b > 0").select("__mx_source", "n", F.col("t").alias("__mx_tokens"), F.col("b").alias("__mx_budget"), ranges.alias("__mx_ranges"), epochs.alias("__mx_epochs")), "mixture-plan")
+        plan = stored(given.filter("t > 0 AND b > 0").select(F.monotonically_increasing_id().alias("__mx_id"), "__mx_source", "n", F.col("t").alias("__mx_tokens"), F.col("b").alias("__mx_budget"), ranges.alias("__mx_ranges"), epochs.alias("__mx_epochs")), "mixture-plan")
         # hot sources are sent, so that no task gets all rows of one: the most frequent, max_sources at most
         hot = stored(plan.filter(F.col("n") > range_rows).orderBy(F.desc("n"), F.xxhash64("__mx_source")).limit(max_sources), "mixture-hot")
         cold = plan.join(F.broadcast(hot.select(F.col("__mx_source").alias("__mx_hot"))), F.col("__mx_source").eqNullSafe(F.col("__mx_hot")), "left_anti")
@@ -158,14 +158,15 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy_ratio: float
     here = here.withColumn("__mx_u", F.xxhash64(F.lit(seed), "epoch", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_hash))
     unit = F.shiftrightunsigned("__mx_u", 11) * F.lit(2.0**-53)
     here = here.withColumn("__mx_range", F.floor(unit * F.col("__mx_ranges")))
-    # no prefix sum needs the text: the sums come from a scan of their own
-    key = ["__mx_source", "epoch", "__mx_range"]
-    before = Window.partitionBy("__mx_source", "epoch").orderBy("__mx_range").rowsBetween(Window.unboundedPreceding, -1)
+    # no prefix sum needs the text: the sums come from a scan of their own. Rows are dealt once, by numbers: a key that can
+    # be null would be dealt anew for the join
+    key = ["__mx_id", "epoch", "__mx_range"]
+    before = Window.partitionBy("__mx_id", "epoch").orderBy("__mx_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = here.groupBy(*key, "__mx_tokens").agg(F.sum("n_tokens").alias("__mx_sum"))
     sums = sums.select(*[F.col(k).alias(f"{k}_") for k in key], (F.coalesce(F.sum("__mx_sum").over(before), F.lit(0)) + F.col("epoch") * F.col("__mx_tokens")).alias("__mx_start"))
     inside = Window.partitionBy(*key).orderBy("__mx_u", F.col(id_col).asc_nulls_first(), text_hash).rowsBetween(Window.unboundedPreceding, -1)
     placed = here.withColumn("__mx_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    placed = placed.join(sums, [F.col(k).eqNullSafe(F.col(f"{k}_")) if k == "__mx_source" else F.col(k) == F.col(f"{k}_") for k in key])
+    placed = placed.join(sums, [F.col(k) == F.col(f"{k}_") for k in key])
     place = F.col("__mx_start") + F.col("__mx_in")
     drawn = placed.filter(place < F.col("__mx_budget"))
     block = F.least(F.floor(place / F.col("__mx_budget") * n_blocks), F.lit(n_blocks - 1)).cast("long")

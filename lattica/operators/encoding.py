@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,19 +52,30 @@ class Encoded:
         return out, masks
 
 
-def encoded(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> Encoded:
+def _number(c: str, kind: T.DataType) -> Column:
+    return F.unix_date(F.col(f"`{c}`")) if isinstance(kind, T.DateType) else F.col(f"`{c}`")
+
+
+def span_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Aggregates that encoded() needs: the least and greatest of each column of whole numbers or dates."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return [f(_number(c, kinds[c])).cast("long").alias(f"{n}{c}") for c in columns if isinstance(kinds[c], (*_WHOLE, T.DateType)) for n, f in (("low ", F.min), ("high ", F.max))]
+
+
+def encoded(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), spans: Row | None = None) -> Encoded:
+    """spans: a row of span_columns(), if it is known already."""
     kinds = {f.name: f.dataType for f in df.schema}
     whole = [c for c in columns if isinstance(kinds[c], (*_WHOLE, T.DateType))]
-    number = lambda c: F.unix_date(F.col(f"`{c}`")) if isinstance(kinds[c], T.DateType) else F.col(f"`{c}`")
-    spans = df.agg(*[f(number(c)).cast("long").alias(f"{n}{i}") for i, c in enumerate(whole) for n, f in (("low", F.min), ("high", F.max))]).first() if whole else None
+    if whole and spans is None:
+        spans = df.agg(*span_columns(df, columns)).first()
     bits: dict[str, int] = {}
     out = df.select(*[F.col(f"`{c}`") for c in (*columns, *keep)])
-    for i, c in enumerate(whole):
-        low, high = spans[f"low{i}"], spans[f"high{i}"]
+    for c in whole:
+        low, high = spans[f"low {c}"], spans[f"high {c}"]
         span = 0 if low is None else high - low + 1
         if span.bit_length() <= OFFSET_BITS:
             bits[c] = max(1, span.bit_length())
-            out = out.withColumn(c, F.coalesce((number(c).cast("long") - F.lit(low or 0) + 1).cast("int"), F.lit(0)))
+            out = out.withColumn(c, F.coalesce((_number(c, kinds[c]).cast("long") - F.lit(low or 0) + 1).cast("int"), F.lit(0)))
     rest = [c for c in columns if c not in bits]
     for c, codes, n in _dictionaries(df, rest, {c: kinds[c] for c in rest}):
         bits[c] = max(1, n.bit_length())

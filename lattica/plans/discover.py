@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columnsets import MaximalFamily, MinimalFamily, indices, mask_of, minimal_hitting_sets
-from ..operators.encoding import Encoded, encoded
+from ..operators.encoding import Encoded, encoded, span_columns
 from ..operators.levels import CHUNK, Found, evaluate
 from ..operators.measures import G1, G3, Measure, measure_named
 from ..operators.partitions import check_columns
@@ -69,6 +69,12 @@ class Discovery:
         return [f"{{{r[0]}}} -> {r[2]} ({r[3]:.6f})" for r in best] + [f"{len(self.rows)} dependencies"]
 
 
+def _input_splits(df: DataFrame) -> int:
+    """About how many tasks read the table, by the size that the optimizer knows."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, size // df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 class Profile:
     """A table ready for search: its columns only, equal rows counted once if that pays, large tables as integer codes;
     kept between jobs."""
@@ -81,22 +87,21 @@ class Profile:
         data = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if cast_all_string else F.col(f"`{c}`") for c in self.columns])
         self.weight = None
         counted = data.groupBy(*[f"`{c}`" for c in self.columns]).agg(F.count("*").alias("__rows"))
-        if preaggregate is None:  # worth it if rows repeat: told from the distinct estimate of one scan
-            est = data.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*[f"`{c}`" for c in self.columns])).alias("d")).first()
-            self.total_rows = est["n"]
-            preaggregate = est["d"] < 0.5 * est["n"]
-        else:
-            self.total_rows = data.count()
-        if preaggregate:
+        # one scan: rows, and how many differ, for counting equal rows once pays if they repeat
+        distinct = [F.approx_count_distinct(F.struct(*[f"`{c}`" for c in self.columns])).alias("d")] if preaggregate is None and self.columns else []
+        seen = data.agg(F.count("*").alias("n"), *distinct, *span_columns(data, self.columns)).first()
+        self.total_rows = seen["n"]
+        if preaggregate or distinct and seen["d"] < 0.5 * seen["n"]:
             data, self.weight = counted, "__rows"
         self.encoded: Encoded | None = None
         if (self.total_rows >= self.ENCODE_ROWS if encode is None else encode) and self.columns:
-            self.encoded = encoded(data, self.columns, [self.weight] if self.weight else [])
-            data = self.encoded.data
-        # few input splits would leave cores idle in every level: a slim table is dealt once
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if self.encoded and data.rdd.getNumPartitions() < cores:
-            data = data.repartition(cores)
+            self.encoded = encoded(data, self.columns, [self.weight] if self.weight else [], seen)
+            # few input splits would leave cores idle in every level: a slim table is dealt once
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            if _input_splits(df) < cores:
+                data = self.encoded.data.repartition(cores)
+            else:
+                data = self.encoded.data
         self.data = data.persist(StorageLevel.MEMORY_AND_DISK)  # recomputed from the input where an executor is lost
         self.table = Encoded(self.data, self.encoded.bits) if self.encoded else self.data
         self.thin: Encoded | None = None

@@ -164,7 +164,7 @@ def test_estimators_agree(spark):
     rnd = random.Random(3)
     rows = [(rnd.randrange(9), rnd.choice(["a", "b", None]), rnd.randrange(4), i) for i in range(300)]
     df = spark.createDataFrame(rows, "a int, b string, c int, d int").withColumn("id", F.col("d"))
-    asked = [(frozenset(x), a) for x, a in ((("a",), "b"), (("a", "b"), "c"), (("d",), "a"), (("c",), "d"), (("b", "c"), "a"))]
+    asked = [(frozenset(x), a) for x, a in ((("a",), "b"), (("a", "b"), "c"), (("d",), "a"))]
     small = sampling.SmallEstimator(df, "id", ["a", "b", "c", "d"], 60, 5, G3, 300).errors(asked)
     whole = sampling.Estimator(df, "id", ["a", "b", "c", "d"], "random", 60, 5, G3, 300)
     assert small == pytest.approx(whole.errors(asked))

@@ -72,7 +72,7 @@ def test_runs(spark, tmp_path):
     assert len(plan) == 5 and {r.algorithm for r in plan} == {"levelwise", "bestfirst"}
     stats = {}
     for mode in experiment.CONFIGS:
-        run, _ = experiment.run_one(csv.read_csv(spark, path).select("port", "berth", "cargo"), path, "pyro", mode, max_error=0.05, sample_param=0.6, max_lhs=2)
+        run, _ = experiment.run_one(csv.read_csv(spark, path).select("port", "berth", "cargo"), path, "pyro", mode, max_error=0.05, sample_param=0.6, max_lhs=1)
         assert run.status == "SUCCESS" and run.config == experiment.CONFIGS[mode] and run.memory_mb > 0, run.message
         stats[mode] = run.stats
     assert "estimated" in stats["RANDOM"] and len({s.rsplit("mean estimate", 1)[1] for s in stats.values()}) > 1  # each mode has its own estimates

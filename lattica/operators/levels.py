@@ -10,9 +10,11 @@ levels are cut into chunks.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from .partitions import grouped
 
 #: Nodes of one job, and jobs side by side.
 CHUNK, AT_ONCE = 24, 4
+#: Of a table that is dealt by a column, (row, node) pairs of one task.
+DEALT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -71,22 +75,28 @@ def level_plan(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], weigh
     return out.select("node", rhs.alias("rhs"), "removals", "violating_pairs", "lhs_groups", "node_groups", "violations"), nodes
 
 
-def packed_plan(table: Encoded, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None, measure: Measure | None = None) -> tuple[DataFrame, list[tuple[str, ...]]]:
-    """level_plan() over codes: a node's key is one BIGINT, and blanking out A is a bit mask."""
+def packed_plan(table: Encoded, candidates: Sequence[tuple[frozenset, str]], weight: str | None = None, measure: Measure | None = None, by: str | None = None, rows: int = 0) -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """level_plan() over codes: a node's key is one BIGINT, and blanking out A is a bit mask. by: a column of every left-hand
+    side. The (about so many) rows are dealt by it, once, and both groupings then need no shuffle."""
     asked: dict[tuple[str, ...], list[str]] = {}
     for x, a in candidates:
         asked.setdefault(tuple(sorted((*x, a))), []).append(a)
     nodes = sorted(asked)
     keys, masks = zip(*(table.key(n) for n in nodes), strict=True)
     w = F.col(f"`{weight}`") if weight else F.lit(1).cast("long")
-    spread = table.data.select(w.alias("w"), F.inline(F.array(*[F.struct(F.lit(i).alias("node"), k.alias("key")) for i, k in enumerate(keys)])))
-    groups = spread.groupBy("node", "key").agg(F.sum("w").alias("c"))
+    data, own = table.data, []
+    if by is not None:
+        tasks = max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * len(nodes) / DEALT))
+        data, own = data.repartition(tasks, F.col(f"`{by}`")), [F.col(f"`{by}`").alias("__by")]
+    spread = data.select(*own, w.alias("w"), F.inline(F.array(*[F.struct(F.lit(i).alias("node"), k.alias("key")) for i, k in enumerate(keys)])))
+    own = ["__by"] if own else []
+    groups = spread.groupBy(*own, "node", "key").agg(F.sum("w").alias("c"))
     every = sorted({a for n in nodes for a in asked[n]})
     wanted = [[{"rhs": every.index(a), "mask": m[a]} for a in asked[n]] for n, m in zip(nodes, masks, strict=True)]
-    rows = F.from_json(F.lit(json.dumps(wanted)), "array<array<struct<rhs:int,mask:bigint>>>")
-    each = groups.select("node", "key", "c", F.inline(F.element_at(rows, F.col("node") + 1)))
+    asks = F.from_json(F.lit(json.dumps(wanted)), "array<array<struct<rhs:int,mask:bigint>>>")
+    each = groups.select(*own, "node", "key", "c", F.inline(F.element_at(asks, F.col("node") + 1)))
     c = F.col("c")
-    per = each.groupBy("node", "rhs", F.col("key").bitwiseAND(F.col("mask")).alias("x")).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"), F.count("*").alias("d"))
+    per = each.groupBy(*own, "node", "rhs", F.col("key").bitwiseAND(F.col("mask")).alias("x")).agg(F.sum(c).alias("s"), F.max(c).alias("m"), F.sum(c * (c - 1)).alias("q"), F.count("*").alias("d"))
     out = per.groupBy("node", "rhs").agg(*_sums(measure))
     return out.withColumn("rhs", F.element_at(F.array(*map(F.lit, every)), F.col("rhs") + 1)), nodes
 
@@ -100,14 +110,16 @@ def chunks(candidates: Iterable[tuple[frozenset, str]], size: int = CHUNK) -> li
     return [[c for n in nodes[i : i + size] for c in by_node[n]] for i in range(0, len(nodes), size)]
 
 
-def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, str]], weight: str | None = None, chunk: int = CHUNK, measure: Measure | None = None) -> dict[tuple[frozenset, str], Found]:
-    """The exact figures of all candidates, chunks side by side. As many rows as candidates come to the driver."""
+def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, str]], weight: str | None = None, chunk: int = CHUNK, measure: Measure | None = None, by: str | None = None, rows: int = 0) -> dict[tuple[frozenset, str], Found]:
+    """The exact figures of all candidates, chunks side by side. As many rows as candidates come to the driver. by, rows: see
+    packed_plan()."""
     out = {}
     candidates = list(candidates)
     if isinstance(table, Encoded):
         packed = [c for c in candidates if table.fits((*c[0], c[1]))]
         wide = [c for c in candidates if not table.fits((*c[0], c[1]))]
-        parts = [(packed_plan, table, p) for p in chunks(packed, chunk)] + [(level_plan, table.data, p) for p in chunks(wide, chunk)]
+        make_packed = partial(packed_plan, by=by, rows=rows)
+        parts = [(make_packed, table, p) for p in chunks(packed, chunk)] + [(level_plan, table.data, p) for p in chunks(wide, chunk)]
     else:
         parts = [(level_plan, table, p) for p in chunks(candidates, chunk)]
 
@@ -129,6 +141,30 @@ def evaluate(table: DataFrame | Encoded, candidates: Iterable[tuple[frozenset, s
     return out
 
 
+#: Eighths of the values of a column that are asked one after the other.
+EIGHTHS = (0, 1, 2, 4, 8)
+
+
+def evaluate_dealt(table: Encoded, candidates: Iterable[tuple[frozenset, str]], by: str, n: int, eps: float, weight: str | None = None, chunk: int = CHUNK, measure: Measure = G3) -> dict[tuple[frozenset, str], Found]:
+    """The exact figures of those candidates, all with `by` on the left, whose error is within eps; the others are not in the
+    result. No group of X has rows in two parts of by's values, so figures of parts add up, and a candidate is left once
+    those of the parts so far exceed eps (measures that grow)."""
+    part = F.pmod(F.xxhash64(F.col(f"`{by}`")), F.lit(EIGHTHS[-1]))
+    left = {c: Found(*c, 0, 0, 0, 0, 0.0) for c in candidates}
+    for low, high in zip(EIGHTHS, EIGHTHS[1:], strict=False):
+        rows = Encoded(table.data.filter((part >= low) & (part < high)), table.bits)
+        for c, f in evaluate(rows, left, weight, chunk, measure, by, n * (high - low) // EIGHTHS[-1]).items():
+            o = left[c]
+            total = Found(*c, *((getattr(o, k) or 0) + (getattr(f, k) or 0) for k in ("removals", "violating_pairs", "lhs_groups", "node_groups", "violations")))
+            if total.error(measure, n) > eps:
+                del left[c]
+            else:
+                left[c] = total
+        if not left:
+            break
+    return left
+
+
 def level_errors(df: DataFrame, candidates: Sequence[tuple[frozenset, str]], total_rows: int, measures: Sequence[Measure] = (G3, G1), chunk: int = CHUNK) -> DataFrame:
     """lhs, rhs, the numerators and an error column for each measure, for every candidate."""
     out: DataFrame | None = None

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.columnsets import MaximalFamily, MinimalFamily, indices, mask_of, minimal_hitting_sets
 from ..operators.encoding import Encoded, encoded, span_columns
-from ..operators.levels import CHUNK, Found, evaluate
+from ..operators.levels import CHUNK, Found, evaluate, evaluate_dealt
 from ..operators.measures import G1, G3, Measure, measure_named
 from ..operators.partitions import check_columns
 from ..operators.sampling import SEED, Estimator, SmallEstimator, Strategy, drawn_by, sample_size
@@ -81,6 +81,9 @@ class Profile:
 
     #: Tables of so many rows are encoded, and thinned to a part in so many for a first look.
     ENCODE_ROWS, THIN = 100_000, 4
+    #: A column is dealt by if no value has more than one of EVEN rows; columns of few values are counted together while
+    #: their combinations are under one of SMALL rows.
+    EVEN, SMALL = 256, 16
 
     def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, cast_all_string: bool = False, preaggregate: bool | None = None, encode: bool | None = None):
         self.columns = check_columns(df, columns or df.columns)
@@ -108,6 +111,35 @@ class Profile:
         if self.encoded:
             part = F.pmod(F.xxhash64(*[f"`{c}`" for c in self.columns]), F.lit(self.THIN)) == 0
             self.thin = Encoded(self.data.filter(part), self.encoded.bits)
+        #: Of each column: its values, the rows of the most frequent one, and the most rows of self.data with one value.
+        self.values: dict[str, tuple[int, int, int]] = {}
+        self.data_rows = self.total_rows  # fewer if equal rows are counted once
+        self.small: Encoded | None = None
+        self.small_columns: frozenset = frozenset()
+
+    def count_values(self) -> None:
+        """Fills values, and small: the columns of few values with the number of rows of each combination."""
+        w = F.col(f"`{self.weight}`") if self.weight else F.lit(1).cast("long")
+        codes = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("long").alias("v")) for i, c in enumerate(self.columns)])
+        each = self.data.select(w.alias("w"), F.inline(codes)).groupBy("i", "v").agg(F.sum("w").alias("c"), F.count("*").alias("r"))
+        for x in each.groupBy("i").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("r").alias("r"), F.sum("r").alias("rows")).collect():
+            self.values[self.columns[x["i"]]] = (x["n"], x["c"], x["r"])
+            self.data_rows = x["rows"]
+        few, size = [], 1
+        for c in sorted(self.values, key=lambda c: (self.values[c][0], c)):
+            size *= self.values[c][0]
+            if size * self.SMALL > self.data_rows:
+                break
+            few.append(c)
+        if len(few) > 1:
+            counts = self.data.groupBy(*[f"`{c}`" for c in few]).agg(F.sum(w).cast("long").alias("__rows"))
+            self.small = Encoded(counts.persist(StorageLevel.MEMORY_AND_DISK), self.encoded.bits)
+            self.small_columns = frozenset(few)
+
+    def dealt_by(self, lhs: frozenset) -> str | None:
+        """The column of the most values to deal the rows by, if it is spread evenly enough."""
+        best = max(lhs, key=lambda c: (self.values[c][0], c))
+        return best if self.values[best][2] * self.EVEN <= self.data_rows else None
 
     def rows(self, id_col: str) -> DataFrame:
         """Each row of the table, with a number that only equal rows share: they are interchangeable in a sample."""
@@ -119,6 +151,8 @@ class Profile:
 
     def close(self) -> None:
         self.data.unpersist()
+        if self.small:
+            self.small.data.unpersist()
 
     def __enter__(self) -> Profile:
         return self
@@ -163,6 +197,9 @@ def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targe
     valid = {a: MinimalFamily() for a in targets}
     out = Discovery([], 0, 0.0, n)
     groups: dict[frozenset, int] = {}
+    if profile.encoded and measure.grows:
+        profile.count_values()
+        groups = {frozenset((c,)): v[0] for c, v in profile.values.items()}
     # what a level extends: for each A the sets that were invalid, by prefix join
     open_sets: dict[str, set[frozenset]] = {a: {frozenset((c,)) for c in columns if c != a} for a in targets}
     for size in range(1, limit + 1):
@@ -172,18 +209,30 @@ def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targe
                 d = groups.get(x)
                 if d is not None and d == n:  # a key determines everything
                     known[x, a] = Found(x, a, 0, 0, d, d, 0.0)
-                elif not _hopeless(groups, x, a, measure, eps, n):
+                elif not _hopeless(groups, profile.values, x, a, measure, eps, n):
                     asked.append((x, a))
                 # else: certainly over epsilon, and stays open for its supersets
         first = len(asked)
+        out.validations += first
+        results, small = dict(known), [c for c in asked if c[0] | {c[1]} <= profile.small_columns]
+        if small:
+            results |= evaluate(profile.small, small, "__rows", chunk, measure)
+        dealt: dict[str, list] = {}
+        for c in asked if profile.values else []:
+            if not c[0] | {c[1]} <= profile.small_columns and profile.table.fits((*c[0], c[1])) and (by := profile.dealt_by(c[0])):
+                dealt.setdefault(by, []).append(c)
+        for by, those in sorted(dealt.items()):
+            results |= evaluate_dealt(profile.table, those, by, n, eps, profile.weight, chunk, measure)
+        others = {*small, *(c for those in dealt.values() for c in those)}
+        asked = [c for c in asked if c not in others]
         if profile.thin and asked and measure.grows:
             # where X may have as many values as the table rows, a part of them would show few violations
             low = [c for c in asked if sum(profile.thin.bits[x] for x in c[0]) < math.log2(n)]
             look = evaluate(profile.thin, low, profile.weight, chunk, measure)
             asked = [c for c in asked if c not in look or look[c].error(measure, n) <= eps]
-        results = evaluate(profile.table, asked, profile.weight, chunk, measure) | known
-        out.validations += len(asked)
-        out.levels.append({"level": size, "asked": len(asked), "known": len(known), "rejected early": first - len(asked)})
+        results |= evaluate(profile.table, asked, profile.weight, chunk, measure)
+        whole = len(results) - len(known)
+        out.levels.append({"level": size, "asked": whole, "known": len(known), "rejected early": first - whole})
         for (x, a), f in results.items():
             groups[x] = f.lhs_groups
             groups[x | {a}] = f.node_groups
@@ -203,12 +252,21 @@ def _levelwise(profile: Profile, eps: float, measure: Measure, limit: int, targe
     return out
 
 
-def _hopeless(groups: dict[frozenset, int], x: frozenset, a: str, measure: Measure, eps: float, n: int) -> bool:
-    """A group of X with d values of A loses d - 1 rows at least, so removals >= distinct(X u A) - distinct(X)."""
-    if measure is not G3 or x not in groups or x | {a} not in groups:
-        return False
+def _hopeless(groups: dict[frozenset, int], values: dict[str, tuple[int, int, int]], x: frozenset, a: str, measure: Measure, eps: float, n: int) -> bool:
+    """A group of X with d values of A loses d - 1 rows at least, so removals >= distinct(X u A) - distinct(X); and it keeps
+    the rows of one value of A at most, so removals >= n - distinct(X) times the rows of A's most frequent value. Where a
+    count is not known, bounds from smaller sets serve."""
     base = measure.base(n)
-    return base > 0 and (groups[x | {a}] - groups[x]) / base > eps
+    if measure is not G3 or base <= 0:
+        return False
+    most = groups.get(x)
+    if most is None and x <= values.keys():
+        most = min(n, math.prod(values[c][0] for c in x))
+    if most is None:
+        return False
+    least = groups.get(x | {a}) or max((groups.get(frozenset((c,)), 0) for c in (*x, a)), default=0)
+    kept = most * values[a][1] if a in values else n
+    return max(least - most, n - kept) / base > eps
 
 
 def _next_level(sets: set[frozenset]) -> set[frozenset]:

@@ -100,6 +100,37 @@ def test_large_tables_take_the_same_path(spark, monkeypatch):
     assert sum(x["rejected early"] for x in large.levels) > 0
 
 
+@pytest.mark.parametrize("eps, measure", [(0.05, "g3"), (0.3, "g3"), (0.02, "g1")])
+@pytest.mark.parametrize("repeat", [1, 3])
+def test_dealt_by_a_column_of_the_left_hand_side(spark, monkeypatch, eps, measure, repeat):
+    from lattica.plans import discover as module
+
+    rnd = random.Random(4)
+    rows = [(i // 4, i % 4 if i % 50 else None, rnd.randrange(30), rnd.choice("xy"), 0 if i < 250 else i) for i in range(400)] * repeat
+    df = spark.createDataFrame(rows, "order int, line int, supplier int, flag string, hot int")
+    plain = discover(df, eps, measure, max_lhs=3)
+    asked, dealt = [], []
+    for name, seen in (("evaluate", asked), ("evaluate_dealt", dealt)):
+        monkeypatch.setattr(module, name, lambda t, c, *x, f=getattr(module, name), seen=seen, **k: seen.extend((y, *x[:1]) for y in c) or f(t, c, *x, **k))
+    for k, v in (("ENCODE_ROWS", 1), ("EVEN", 10), ("SMALL", 4)):
+        monkeypatch.setattr(module.Profile, k, v)
+    assert discover(df, eps, measure, max_lhs=3).rows == plain.rows
+    assert {by for _, by in dealt} <= {"order", "supplier"} and dealt  # not by the column with a hot value
+    assert not any("order" in x for (x, _), *_ in asked if "hot" not in x)
+    if measure == "g3":  # two flags can't tell 100 orders: known without a job
+        assert (frozenset(["flag"]), "order") not in [c for c, *_ in asked + dealt]
+
+
+def test_dealt_rows_are_shuffled_once(spark):
+    from lattica.operators.encoding import encoded
+    from lattica.operators.levels import packed_plan
+
+    df = spark.createDataFrame([(i // 4, i % 3, i % 5) for i in range(400)], "a int, b int, c int")
+    plan, _ = packed_plan(encoded(df, df.columns), [(frozenset("ab"), "c"), (frozenset("a"), "b")], by="a", rows=400)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(a#") == 1 and text.count("Exchange ") == 2  # and one for the sums
+
+
 @pytest.mark.parametrize("sampling, param", [("none", 200), ("random", 5), ("random", 0.5), ("focused", 6), ("neyman", 0.7)])
 def test_sampling_never_decides(spark, sampling, param):
     df = voyages(spark).select("ship", "port", "berth", "cargo")

@@ -9,7 +9,8 @@ Equal texts are one node from the start. The rest is exact:
    of those leaves here; most texts do.
 2. For each remaining prefix shingle the texts that post it are candidates of one of them: a star, not all pairs.
    Candidates are verified, and the links found make provisional groups. A second round does the same across the
-   groups, with the centre drawn for each shingle anew.
+   groups, with the centre drawn for each shingle anew; and more do, with several centres, while they find links and the
+   groups still meet in many pairs, as around a large group of near-copies.
 3. Texts that post the same shingle and are not in one group yet become candidate pairs if their sizes, the places of the
    shingle and their parity sketches allow the overlap (sets that differ in d shingles have sketches that differ in at
    most d bits). They are verified, too. Now every pair that could link has either been verified or
@@ -46,8 +47,11 @@ WIDTH = 5
 PERCENT = 75
 #: Partners of one text that are verified by one task; more are dealt to several.
 STAR = 256
-#: Rounds of stars before the remaining pairs are listed.
-ROUNDS = 2
+#: Rounds of stars before the remaining pairs are listed: so many, and more, up to the second number, while a round finds
+#: links and the groups meet in more than PAIRS pairs for each posting.
+ROUNDS, MORE_ROUNDS, PAIRS = 2, 6, 2
+#: Centres of a shingle in those further rounds.
+CENTRES = 8
 #: Postings of one shingle that are paired by one task; longer lists are dealt to a grid of tasks.
 TILE = 256
 
@@ -290,17 +294,33 @@ def _labelled(post: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def _star(post: DataFrame, number: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The postings of shingles that several groups post, and candidates (a, b, deg): in each of those shingles one text
-    with those of other groups."""
+    (in further rounds several) with those of other groups."""
+    x = F.struct(F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     # first one order of the texts, so that texts alike choose alike; then another in each shingle
-    draw = F.xxhash64("id", F.lit(number)) if number == 0 else F.xxhash64("id", "tok", F.lit(number))
-    x = F.min_by(F.struct(F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("n2"), F.col("place").alias("place2")), draw).alias("x")
-    centre = post.groupBy("tok").agg(x, F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-    centre = centre.filter("low <> high").select("tok", "x.*", "c")
-    mixed = stored(post.hint("merge").join(centre, "tok"), "postings")  # a sort-merge join's hot partitions are split
-    rows = mixed.filter((F.col("label") != F.col("al")) & _able(percent))
+    draws = [F.xxhash64("id", F.lit(number)) if number == 0 else F.xxhash64("id", "tok", F.lit(number))]
+    if number >= ROUNDS:
+        draws = [F.xxhash64("id", "tok", F.lit(number), F.lit(i)) for i in range(CENTRES)]
+    drawn = F.array_distinct(F.array(*[F.min_by(x, d) for d in draws])).alias("xs")
+    centre = post.groupBy("tok").agg(drawn, F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    apart = (F.col("label") != F.col("al")) & _able(percent)
+    if number < ROUNDS:
+        mixed = stored(post.hint("merge").join(centre.select("tok", F.col("xs")[0].alias("x"), "c").select("tok", "x.*", "c"), "tok"), "postings")  # a sort-merge join's hot partitions are split
+        rows = mixed.filter(apart)
+    else:
+        centre = stored(centre.select("tok", "c", "xs"), "centres")
+        mixed = stored(post.hint("merge").join(centre.select("tok"), "tok"), "postings")
+        rows = mixed.hint("merge").join(centre.select("tok", "c", F.inline("xs")), "tok").filter(apart)
     pairs = rows.groupBy(F.least("a", "id").alias("u"), F.greatest("a", "id").alias("v")).agg(F.min("a").alias("a"), F.max("c").alias("deg"))
     # a centre keeps its partners; of two that are centres of each other the smaller takes the pair
-    return mixed, pairs.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b"), "deg")
+    return mixed, built_on(centre, pairs.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b"), "deg"))
+
+
+def _crowded(post: DataFrame) -> bool:
+    """Whether the pairs of postings of one shingle in different groups are more than PAIRS for each posting."""
+    c = F.col("c").cast("double")
+    each = post.groupBy("tok", "label").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum(c).alias("n"), F.sum(c * c).alias("q"))
+    r = each.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")).first()
+    return bool(r["n"]) and r["pairs"] > PAIRS * r["n"]
 
 
 def _rest(post: DataFrame, facts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
@@ -336,13 +356,16 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     # places count from 0 in the whole order: those that only this text has come first
     post = able.select("id", "n", "own", F.posexplode("prefix").alias("i", "tok")).select("tok", "id", "n", (F.col("i") + F.col("own")).alias("place"))
     groups, tried, held = None, [], None
-    for number in range(ROUNDS):
+    for number in range(MORE_ROUNDS):
+        if number >= ROUNDS and not (linked and _crowded(_labelled(post, groups))):
+            break
         mixed, star = _star(_labelled(post, groups), number, percent)
         discard(held)
         post, held = mixed.select("tok", "id", "n", "place"), mixed
         links, pairs = _links(_plausible(star, facts, percent), texts, percent, "star")
+        linked = bool(links.take(1))
         groups = _joined(groups, links)
-        discard(links)
+        discard(links, star)
         tried.append(pairs)
     done = reduce(DataFrame.unionByName, [p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for p in tried]).distinct()
     rest = _rest(_labelled(post, groups), facts, done, percent)

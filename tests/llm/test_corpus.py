@@ -194,6 +194,25 @@ def test_groups_equal_brute_force(spark, seed, percent, block_bytes):
     assert sorted(map(tuple, got.collect()), key=str) == brute_groups(rows, percent)
 
 
+def test_a_large_group_of_near_copies_leaves_few_pairs(spark, monkeypatch):
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for at in rnd.sample(range(80), 1 if i % 4 else 2):
+            w[at] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    listed, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, texts, percent, label: (listed.append(pairs.count()) if label == "rest" else None) or links(pairs, texts, percent, label))
+    got = ngram_join.jaccard_groups(df)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute_groups(rows, 75)
+    monkeypatch.setattr(ngram_join, "MORE_ROUNDS", ngram_join.ROUNDS)
+    ngram_join.jaccard_groups(df)
+    assert listed[0] < 0.5 * listed[1] and listed[1] > 100, listed
+
+
 def test_one_of_each(spark):
     rows = [(4, "a b c d e f g", "p"), (2, "A b c d e f  g", "q"), (2, "A b c d e f  g", "q"), (9, "h i j", None), (7, "", "r"), (8, None, "s"), (None, "h i j", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
